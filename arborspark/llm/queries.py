@@ -21,5 +21,14 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
-QUERIES = {"op3_token_counts": op3_token_counts}
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("byte_bpe_50k.tiktoken"))
+
+
+QUERIES = {
+    "op3_token_counts": op3_token_counts,
+    "op9_packing": op9_packing,
+}
 ORACLES: dict[str, str] = {}
