@@ -37,6 +37,7 @@ class FMIndex:
     """Backward search over a sequence of small integers; 0 separates and occurs in no pattern."""
 
     def __init__(self, seq: np.ndarray, sample: int = SAMPLE):
+        seq = np.append(seq + 1, 0)  # an end smaller than all else
         n = len(seq)
         rank, have = seq.astype(np.int64), 1
         while have < n and int(rank.max()) < n - 1 or have == 1:  # prefix doubling: order by the first 2, 4, 8 ... symbols
@@ -85,7 +86,7 @@ class FMIndex:
         low, high = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.n, np.int64)
         for k in range(patterns.shape[1] - 1, -1, -1):
             on = np.flatnonzero((lengths > k) & (high > low))
-            s = patterns[on, k]
+            s = patterns[on, k] + 1
             low[on], high[on] = self.before[s] + self.rank(s, low[on]), self.before[s] + self.rank(s, high[on])
         return low, high
 
