@@ -34,9 +34,9 @@ def phrases(text: bytes, window: int = WINDOW) -> list[tuple[bytes, ...]]:
 
 
 class FMIndex:
-    """Backward search over a sequence of small integers; 0 separates and occurs in no pattern."""
+    """Backward search over a sequence of integers below symbols; 0 separates and occurs in no pattern."""
 
-    def __init__(self, seq: np.ndarray, sample: int = SAMPLE):
+    def __init__(self, seq: np.ndarray, symbols: int, sample: int = SAMPLE):
         seq = np.append(seq + 1, 0)  # an end smaller than all else
         n = len(seq)
         rank, have = seq.astype(np.int64), 1
@@ -48,7 +48,7 @@ class FMIndex:
         self.sa = np.argsort(rank, kind="stable")
         bwt = seq[self.sa - 1]
         self.n, self.sample = n, sample
-        self.levels = max(1, int(seq.max(initial=0)).bit_length())
+        self.levels = symbols.bit_length()
         self.before = np.concatenate([[0], np.cumsum(np.bincount(seq, minlength=1 << self.levels))])
         self.bits, self.zeros, cur = [], [], bwt
         for level in range(self.levels - 1, -1, -1):
@@ -141,7 +141,7 @@ class Block:
             return none, none, none
         # the kept stretches, each followed by a separator; where they stood in the shard
         place = np.repeat(s, n + 1) + np.arange(int((n + 1).sum())) - np.repeat(np.cumsum(n + 1) - (n + 1), n + 1)
-        index = FMIndex(seq[place])
+        index = FMIndex(seq[place], len(self.vocab) + 1)
         low, high = index.search(self.patterns, self.lengths)
         hits = np.maximum(high - low, 0)
         which = np.repeat(np.arange(len(hits)), hits)
