@@ -15,6 +15,15 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit, identify, remainder
+
+    docs = table(spark, sf_dir, "documents")
+    held = remainder("doc_id", 4) == 2
+    model = fit(docs.where(~held))
+    return identify(docs.withColumn("held_out", held), model, keep=("doc_id", "held_out"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokens import token_counts
 
@@ -34,6 +43,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_language_id": op2_language_id,
     "op3_token_counts": op3_token_counts,
     "op6_decontamination": op6_decontamination,
     "op9_packing": op9_packing,
