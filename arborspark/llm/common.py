@@ -148,12 +148,16 @@ def window_hash(words: np.ndarray, width: int, which: int = 0) -> np.ndarray:
     n = len(words) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    base = _BASE[1 - which]
-    out = np.zeros(n, np.uint64)
-    for k in range(width):
-        out *= base
-        out += words[k : k + n]
-    return mix(out)
+    out, done = np.zeros(n, np.uint64), 0
+    level, have, base = words, 1, _BASE[1 - which]
+    while True:  # hashes of 1, 2, 4 ... words, put together by the binary digits of width
+        if width & have:
+            out = out * base + level[done : done + n]
+            done += have
+        if done == width:
+            return mix(out)
+        level = level[:-have] * base + level[have:]
+        base, have = np.uint64(int(base) ** 2 % (1 << 64)), have * 2
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
