@@ -37,6 +37,12 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -54,6 +60,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_token_counts": op3_token_counts,
     "op6_decontamination": op6_decontamination,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op9_packing": op9_packing,
     "op10_substring_dedup": op10_substring_dedup,
 }
