@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import tempfile
 from collections.abc import Iterator
@@ -170,3 +171,47 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
         rest = width - have
         out = np.minimum(out[:-rest], out[rest:])
     return out
+
+
+# --- chunks of documents in one row -----------------------------------------------------------------------------------
+
+
+def packed(docs: DataFrame, chunk_bytes: int) -> DataFrame:
+    """(chunk, blob): the rows of docs in their order, about chunk_bytes to a row, compressed, dealt by chunk.
+
+    Two readers of the result share one shuffle. A chunk is named by a hash of its content, so a chunk that a lost
+    executor made and another makes again has the same name exactly if it holds the same rows.
+    """
+
+    def run(batches):
+        held, size = [], 0
+
+        def blob():
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                for x in held:
+                    w.write_batch(x)
+            raw = sink.getvalue().to_pybytes()
+            name = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
+            return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([raw], pa.binary())], ["chunk", "blob"])
+
+        for b in batches:
+            at = 0
+            rows = max(1, int(b.num_rows * chunk_bytes / max(1, 4 * b.nbytes)))
+            while at < b.num_rows:
+                part = b.slice(at, rows)
+                at += rows
+                held.append(pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in part.columns], part.schema.names))
+                size += held[-1].nbytes
+                if size >= chunk_bytes:
+                    yield blob()
+                    held, size = [], 0
+        if size:
+            yield blob()
+
+    return docs.mapInArrow(run, "chunk long, blob binary").repartition("chunk")
+
+
+def unpacked(t: pa.Table) -> pa.Table:
+    """The rows of a chunk; a row that is there twice (equal chunks) is taken as often as it is there."""
+    return pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in t.column("blob").to_pylist()])

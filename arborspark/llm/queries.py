@@ -49,6 +49,12 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .maxent import lm_scores
+
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -68,6 +74,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op6_decontamination": op6_decontamination,
     "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op8_lm_scores": op8_lm_scores,
     "op9_packing": op9_packing,
     "op10_substring_dedup": op10_substring_dedup,
 }
