@@ -37,6 +37,13 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify
+
+    trusted = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+    return classify(table(spark, sf_dir, "documents"), trusted)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination, digest
 
@@ -72,6 +79,7 @@ QUERIES = {
     "op1_near_vectors": op1_near_vectors,
     "op2_language_id": op2_language_id,
     "op3_token_counts": op3_token_counts,
+    "op5_quality": op5_quality,
     "op6_decontamination": op6_decontamination,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_lm_scores": op8_lm_scores,
