@@ -37,6 +37,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import labelled_findings, scan, train
+
+    return scan(table(spark, sf_dir, "documents"), train(labelled_findings()))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import classify
 
@@ -79,6 +85,7 @@ QUERIES = {
     "op1_near_vectors": op1_near_vectors,
     "op2_language_id": op2_language_id,
     "op3_token_counts": op3_token_counts,
+    "op4_secret_scan": op4_secret_scan,
     "op5_quality": op5_quality,
     "op6_decontamination": op6_decontamination,
     "op7_ngram_jaccard": op7_ngram_jaccard,
