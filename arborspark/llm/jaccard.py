@@ -23,7 +23,8 @@ from .common import ALPHANUMERIC, LOWER, Words, bounded_batches, cut, mix, slice
 from .components import components
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9999
-BINS, LEAF, DEPTH, LAMBDA, BLOCK, SIGMAS = 64, 256, 3, 0.7, 128, 5.0
+BINS, LEAF, DEPTH, LAMBDA, SIGMAS = 64, 256, 3, 0.7, 5.0
+MEET_BLOCK, BLOCK, FIRST_RUNS = 256, 128, 2
 _BIN_BITS = BINS.bit_length() - 1
 
 
@@ -86,7 +87,7 @@ def runs_for(recall: float, threshold: float = THRESHOLD, depth: int = DEPTH) ->
     """Runs after which a pair at the threshold shares a bucket with the target recall, were every bucket as deep as can be."""
     both = 1 / LAMBDA - 1
     met = (1 - both) * threshold + both * (1 - (1 - threshold) ** 2)
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - met**depth)))
+    return max(FIRST_RUNS + 1, math.ceil(math.log(1 - recall) / math.log(1 - met**depth)))
 
 
 def _sketch_links(a: np.ndarray, b: np.ndarray, threshold: float, sigmas: float) -> np.ndarray:
@@ -160,34 +161,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     folded = cut(sets.where("size > 0").groupBy("s1", "s2", "size").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.any_value("sketch").alias("sketch")))
     runs = runs_for(recall, threshold)
 
-    def split(batches):
-        """(path, id) of the children of nodes: (id, path, sketch) rows; path null stands for the roots of all runs."""
-        for b in batches:
-            ids, sk = np.asarray(b.column(0)), np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint32).reshape(-1, BINS)
-            sk = _filled(sk)
-            roots = b.column(1).null_count > 0
-            for r in range(runs if roots else 1):
-                path = np.full(len(ids), mix(np.array([r + 1], np.uint64))[0]) if roots else np.asarray(b.column(1)).view(np.uint64)
-                for c in _children(path):
-                    on = np.flatnonzero(c >= 0)
-                    if len(on):
-                        yield pa.RecordBatch.from_arrays([pa.array(_step(path[on], c[on], sk[on, c[on]]).view(np.int64)), pa.array(ids[on])], ["path", "id"])
-
-    leaves = None
-    nodes = folded.select(F.col("rep").alias("id"), F.lit(None).cast("long").alias("path"), "sketch")
     reps = folded.select(F.col("rep").alias("id"), "sketch")
-    for depth in range(1, DEPTH + 1):
-        rows = cut(nodes.mapInArrow(split, "path long, id long"))
-        counts = cut(rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"))
-        rows = rows.join(counts, "path")
-        if depth < DEPTH:
-            rows = cut(rows)
-            deep = rows.where(F.col("n") > LEAF)
-            rows = rows.where(F.col("n") <= LEAF)
-            nodes = deep.select("path", "id").join(reps, "id").select("id", "path", "sketch")
-        leaves = rows if leaves is None else leaves.unionByName(rows)
-        if depth < DEPTH and deep.isEmpty():
-            break
+
+    def tree(first: int, last: int) -> DataFrame:
+        """(path, id, n) of the buckets with company in which runs first to last - 1 leave the sets."""
+
+        def split(batches):
+            """The children of nodes, from (id, path, sketch); path null stands for the roots of all runs."""
+            for b in batches:
+                ids, sk = np.asarray(b.column(0)), np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint32).reshape(-1, BINS)
+                sk = _filled(sk)
+                roots = b.column(1).null_count > 0
+                for r in range(first, last) if roots else [0]:
+                    path = np.full(len(ids), mix(np.array([r + 1], np.uint64))[0]) if roots else np.asarray(b.column(1)).view(np.uint64)
+                    for c in _children(path):
+                        on = np.flatnonzero(c >= 0)
+                        if len(on):
+                            yield pa.RecordBatch.from_arrays([pa.array(_step(path[on], c[on], sk[on, c[on]]).view(np.int64)), pa.array(ids[on])], ["path", "id"])
+
+        leaves = None
+        nodes = reps.select("id", F.lit(None).cast("long").alias("path"), "sketch")
+        for depth in range(1, DEPTH + 1):
+            rows = cut(nodes.mapInArrow(split, "path long, id long"))
+            counts = cut(rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"))
+            rows = rows.join(counts, "path")
+            if depth < DEPTH:
+                rows = cut(rows)
+                deep = rows.where(F.col("n") > LEAF)
+                rows = rows.where(F.col("n") <= LEAF)
+                nodes = deep.select("path", "id").join(reps, "id").select("id", "path", "sketch")
+            leaves = rows if leaves is None else leaves.unionByName(rows)
+            if depth < DEPTH and deep.isEmpty():
+                break
+        return leaves
 
     def meet(t: pa.Table) -> pa.RecordBatch | None:
         ids, b = np.asarray(t.column("id")), np.asarray(t.column("_b"))
@@ -196,9 +202,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint32).reshape(-1, BINS)
         return _emit(ids, _across(b, lambda x, y: _sketch_links(sk[x], sk[y], threshold, SIGMAS)), None)
 
-    dealt = deal(leaves, "path", "n", "id", BLOCK).join(reps, "id")
-    met = grouped(dealt.select("path", "_i", "_j", "_b", "id", "sketch"), ["path", "_i", "_j"], meet, "a long, b long, weight long")
-    group = cut(components(met))
+    def met(leaves: DataFrame) -> DataFrame:
+        dealt = deal(leaves, "path", "n", "id", MEET_BLOCK).join(reps, "id")
+        return grouped(dealt.select("path", "_i", "_j", "_b", "id", "sketch"), ["path", "_i", "_j"], meet, "a long, b long, weight long").select("a", "b")
+
+    # a bucket whose sets the first runs have all brought into one group has nothing to add: its pairs are compared there
+    group = cut(components(met(tree(0, FIRST_RUNS))))
+    leaves = tree(FIRST_RUNS, runs).join(group, F.col("id") == F.col("node"), "left").withColumn("g", F.coalesce("component", "id"))
+    leaves = cut(leaves.select("path", "id", "n", "g"))
+    open_paths = leaves.groupBy("path").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 < g1").select("path")
+    later = met(leaves.join(cut(open_paths), "path"))
+    group = cut(components(later.unionByName(group.select(F.col("node").alias("a"), F.col("component").alias("b")))))
 
     sizes = cut(group.groupBy("component").agg(F.count("*").alias("n")))
     members = group.join(sizes, "component").join(folded.select(F.col("rep").alias("node"), F.col("n").alias("w")), "node")
