@@ -15,7 +15,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import deal, forest, grouped
@@ -264,3 +264,18 @@ def _across(block: np.ndarray, links) -> np.ndarray:
         out[np.ix_(parts[0], parts[1])] = got
         out[np.ix_(parts[1], parts[0])] = got.T
     return out
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with one row of each class of near_duplicates(), the one with the smallest id; all columns stay.
+
+    Rows without an id stay. Of rows that share an id one stays, whichever sorts first by text.
+    """
+    source = docs.select(docs[id_col].cast("long").alias("_id"), docs[text_col].cast("string").alias("_text"))
+    keep = near_duplicates(source, "_id", "_text", **options).where("kept and _id is not null").select("_id")
+    if not source.where("_id is not null").groupBy("_id").count().where("count > 1").isEmpty():
+        keep = keep.distinct()
+        first = Window.partitionBy(docs[id_col]).orderBy(docs[text_col])
+        docs = docs.withColumn("_row", F.when(docs[id_col].isNull(), F.lit(1)).otherwise(F.row_number().over(first))).where("_row = 1").drop("_row")
+    known = docs.join(keep, docs[id_col] == keep["_id"], "left_semi")
+    return known.unionByName(docs.where(docs[id_col].isNull()))

@@ -81,6 +81,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_near_vectors": op1_near_vectors,
     "op2_language_id": op2_language_id,
@@ -92,5 +98,6 @@ QUERIES = {
     "op8_lm_scores": op8_lm_scores,
     "op9_packing": op9_packing,
     "op10_substring_dedup": op10_substring_dedup,
+    "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {}
