@@ -177,10 +177,10 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def packed(docs: DataFrame, chunk_bytes: int) -> DataFrame:
-    """(chunk, blob): the rows of docs in their order, about chunk_bytes to a row, compressed, dealt by chunk.
+    """(chunk, blob): the rows of docs in their order, about chunk_bytes to a row, compressed; nothing is shuffled.
 
-    Two readers of the result share one shuffle. A chunk is named by a hash of its content, so a chunk that a lost
-    executor made and another makes again has the same name exactly if it holds the same rows.
+    A chunk is named by a hash of its content. Equal chunks (of repeated rows) share a name and are one group; unpacked()
+    reads all of a group.
     """
 
     def run(batches):
@@ -209,7 +209,14 @@ def packed(docs: DataFrame, chunk_bytes: int) -> DataFrame:
         if size:
             yield blob()
 
-    return docs.mapInArrow(run, "chunk long, blob binary").repartition("chunk")
+    return docs.mapInArrow(run, "chunk long, blob binary")
+
+
+def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of Arrow batches, each as a table."""
+    for b in batches:
+        for i in range(b.num_rows):
+            yield pa.Table.from_batches([b.slice(i, 1)])
 
 
 def unpacked(t: pa.Table) -> pa.Table:

@@ -21,10 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import LOWER, SPACE_SEPARATED, Words, bounded_batches, cut, mix, packed, slices, text_bytes, unpacked
+from .common import LOWER, SPACE_SEPARATED, Words, bounded_batches, cut, mix, one_by_one, packed, slices, text_bytes, unpacked
 
 CLASSES, TOP, TEMPLATES, ROWS, BLOCK_ROWS = 64, 47, 4, 4096, 128
-STRIDE, ROUNDS, RATE, PRIOR, START, CHUNK_BYTES, BATCH = 8, 2, 0.7, 20.0, 0.35, 8 << 20, 1 << 15
+STRIDE, ROUNDS, RATE, PRIOR, START, CHUNK_BYTES, BATCH = 8, 1, 0.7, 20.0, 0.35, 8 << 20, 1 << 15
 _END, _BEGIN = np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CAA73B)
 
 
@@ -44,7 +44,7 @@ class Tokens:
         before = np.where(w.end - w.start > 1, w.buf[np.maximum(w.end - 2, 0)], 0).astype(np.uint32)
         self.ending = np.zeros(total, np.uint8)
         self.ending[word] = ((last * np.uint32(0x9E3779B1) + before * np.uint32(0x85EBCA6B)) >> np.uint32(16)) % np.uint32(CLASSES - TOP - 1)
-        self.doc = np.repeat(np.arange(n), w.count + 1)
+        self.doc = np.repeat(np.arange(n, dtype=np.int32), w.count + 1)
 
     def history(self) -> list[np.ndarray]:
         """Feature rows of each token, by template."""
@@ -99,7 +99,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     bounded_batches(spark)
     source = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    chunks = packed(source, chunk_bytes)
+    chunks = cut(packed(source, chunk_bytes))
     shards = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds = np.array([(k << 64) // shards for k in range(shards)], np.uint64)
 
@@ -116,13 +116,13 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         key, first, inverse = np.unique(h, return_index=True, return_inverse=True)
         return key, ending[first], np.bincount(inverse, weights=train).astype(np.int64)
 
-    def name(t: pa.Table) -> pa.Table:
+    def name(t: pa.Table) -> pa.RecordBatch:
         key, ending, count = distinct(t)
         edge = np.append(np.searchsorted(key, bounds), len(key))
         used = np.flatnonzero(np.diff(edge))
         blob = lambda x: pa.array([x[edge[k] : edge[k + 1]].tobytes() for k in used], pa.binary())
         chunk = t.column("chunk")[0].as_py()
-        return pa.table({"shard": pa.array(used, pa.int32()), "chunk": pa.array([chunk] * len(used), pa.int64()), "keys": blob(key), "endings": blob(ending), "counts": blob(count.astype("<u4"))})
+        return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([chunk] * len(used), pa.int64()), blob(key), blob(ending), blob(count.astype("<u4"))], ["shard", "chunk", "keys", "endings", "counts"])
 
     def total(t: pa.Table) -> pa.Table:
         """What each chunk asked for, and one row (chunk null) for the shard: distinct words, tokens, the like for each ending, the most frequent words."""
@@ -146,7 +146,11 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
             "top": pa.array([None] * len(back) + [best.tobytes()], pa.binary()),
         })
 
-    named = chunks.groupBy("chunk").applyInArrow(name, "shard int, chunk long, keys binary, endings binary, counts binary")
+    def names(batches):
+        for t in one_by_one(batches):
+            yield name(t)
+
+    named = chunks.mapInArrow(names, "shard int, chunk long, keys binary, endings binary, counts binary")
     totals = cut(named.groupBy("shard").applyInArrow(total, "chunk long, shard int, counts binary, top binary"))
     stats, best = np.zeros(2 + 2 * (CLASSES - TOP - 1), np.int64), []
     for r in totals.where("chunk is null").select("counts", "top").toLocalIterator():
@@ -168,10 +172,9 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
 
         def run(batches):
             acc = None
-            for b in batches:
-                for i in range(b.num_rows):
-                    got = part(pa.Table.from_batches([b.slice(i, 1)]))
-                    acc = got if acc is None else acc + got
+            for t in one_by_one(batches):
+                got = part(t)
+                acc = got if acc is None else acc + got
             if acc is not None:
                 parts = acc.reshape(-1, BLOCK_ROWS, width)
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], ["block", "sums"])
@@ -210,9 +213,9 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
             bias, weights = sent.value
             out = np.zeros((TEMPLATES, ROWS, CLASSES + 1), np.float32)
             for _, away, x in read(t):
-                c, on = classes(x), np.flatnonzero(~away[x.doc])
-                on = on[(x.hash[on] + np.arange(len(x.hash), dtype=np.uint64)[on]) % np.uint64(STRIDE) == 0] if STRIDE > 1 else on
-                rows = x.history()
+                on = np.flatnonzero(~away[x.doc])
+                on = on[(x.hash[on] + on.astype(np.uint64)) % np.uint64(STRIDE) == 0]
+                c, rows = classes(x), x.history()
                 for at in range(0, len(on), BATCH):
                     i = on[at : at + BATCH]
                     f = [r[i] for r in rows]
@@ -233,17 +236,16 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     scale = math.log10(tokens + distinct_words + 1)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            raise ValueError("a chunk was made again with other rows; read the input from a stable source")
         bias, weights = sent.value
-        key, _, _ = distinct(left)
+        parts = list(read(left))
+        key = np.unique(np.concatenate([x.hash for _, _, x in parts]))
         edge = np.append(np.searchsorted(key, bounds), len(key))
         count = np.zeros(len(key), np.int64)
         for k, x in zip(right.column("shard").to_pylist(), right.column("counts").to_pylist(), strict=True):
             n = int(edge[k + 1] - edge[k])
             count[edge[k] : edge[k + 1]] = np.frombuffer(x, "<u4" if len(x) == 4 * n else "<i8")
         out = []
-        for ids, away, x in read(left):
+        for ids, away, x in parts:
             n = len(away)
             c = count[np.searchsorted(key, x.hash)]
             cls = classes(x)

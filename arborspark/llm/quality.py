@@ -88,7 +88,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     bounded_batches(spark)
     source = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
     kind = source.schema["id"].dataType.simpleString()
-    chunks = packed(source, chunk_bytes)
+    chunks = packed(source, chunk_bytes).repartition("chunk")
 
     def ids(t: pa.Table) -> pa.Table:
         d = unpacked(t)
