@@ -3,8 +3,9 @@
 The model is of byte n-grams of ``ORDER``, so that every script is covered and the tables stay sharded rows of numbers. Counts
 of trusted documents are summed by n-gram; lower orders count the distinct continuations, and everything a probability
 needs (counts, sums and numbers of followers of each context) is joined to the n-grams that the corpus asks for, order by
-order, as DataFrames hashed by n-gram. A chunk of documents asks once for each of its distinct n-grams and gets their log
-probabilities back, from which each document's perplexity follows. A text is kept unless its perplexity exceeds the
+order, as DataFrames hashed by n-gram. The resulting log probabilities go to where the texts lie if their number is small
+enough (it is checked); otherwise a chunk of documents asks once for each of its distinct n-grams and gets them back by a
+join. Each document's perplexity follows from them. A text is kept unless its perplexity exceeds the
 quantile of the trusted texts of its language, with some slack.
 """
 
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, cut, packed, slices, text_bytes, unpacked
 
 ORDER, QUANTILE, SLACK, SHORT, CHUNK_BYTES = 5, 0.995, 1.15, 2.0, 16 << 20
+#: Distinct n-grams up to which their log probabilities (12 bytes each) are sent to the executors; beyond it they are joined to chunks.
+TABLE_LIMIT = 4_000_000
 
 
 def grams(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -74,10 +77,10 @@ def log_probs(asked: DataFrame, levels: list) -> DataFrame:
         c = F.coalesce("c", F.lit(0))
         off = F.when(c == 0, 0.0).when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
         p = cut(p.select("key", F.when(F.col("total").isNull(), F.col("p")).otherwise((c - off) / F.col("total") + F.col("gamma") * F.col("p")).alias("p")))
-    return p.select("key", F.log("p").alias("logp"))
+    return p.select("key", F.log("p").cast("float").alias("logp"))
 
 
-def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", chunk_bytes: int = CHUNK_BYTES, table_limit: int = TABLE_LIMIT) -> DataFrame:
     """id, lang, n_bytes, trusted, perplexity (for each byte; null for a text without bytes) for each row.
 
     trusted holds the ids whose texts the model learns from. Null texts are empty; rows with a null id are scored but
@@ -95,7 +98,8 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
         return pa.table({"chunk": pa.array([t.column("chunk")[0].as_py()] * d.num_rows, pa.int64()), "id": d.column("id")})
 
     named = chunks.groupBy("chunk").applyInArrow(ids, f"chunk long, id {kind}")
-    wanted = cut(named.join(trusted.select(trusted.columns[0]).distinct().withColumnRenamed(trusted.columns[0], "id"), "id", "left_semi"))
+    known = trusted.select(F.col(trusted.columns[0]).alias("id")).distinct()
+    wanted = named.join(known, "id", "left_semi")
 
     def learn(left: pa.Table, right: pa.Table) -> pa.Table:
         d = unpacked(left)
@@ -107,35 +111,63 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     counted = chunks.groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInArrow(learn, "key long, c long")
     levels = model(cut(counted.groupBy("key").agg(F.sum("c").alias("c"))))
 
+    def distinct(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_counted(text_bytes(b.column(0)))[0])], ["key"])
+
+    probs = cut(log_probs(cut(source.select("text").mapInArrow(distinct, "key long").distinct()), levels))
+    if probs.count() <= table_limit:
+        scored = _by_table(source, probs, kind)
+    else:
+        scored = _by_chunk(chunks, probs, kind)
+    scored = cut(scored).join(known.withColumn("trusted", F.lit(True)), "id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
+    return scored.select("id", "lang", "n_bytes", "trusted", "perplexity").withColumnRenamed("id", id_col)
+
+
+def _rated(raw: list[bytes], key: np.ndarray, logp: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Bytes and perplexity of texts whose n-grams are all in the sorted table."""
+    size, total = np.zeros(len(raw), np.int64), np.zeros(len(raw))
+    for s, e in slices([len(t) for t in raw]):
+        k, n = grams(raw[s:e])
+        size[s:e] = n
+        if len(k):
+            at = np.searchsorted(key, k)
+            if not len(key) or (key[np.minimum(at, len(key) - 1)] != k).any():
+                raise ValueError("the texts are not those that the model was asked about; read the input from a stable source")
+            total[s:e] = np.bincount(np.repeat(np.arange(e - s), n), weights=logp[at], minlength=e - s)
+    return pa.array(size), pa.array(np.exp(-total / np.maximum(size, 1)), mask=size == 0)
+
+
+def _by_table(source: DataFrame, probs: DataFrame, kind: str) -> DataFrame:
+    """Scores where the texts lie: the table of log probabilities is sent to the executors, its size having been checked."""
+    table = probs.select("key", "logp").toArrow()
+    key, logp = table.column("key").to_numpy(), table.column("logp").to_numpy()
+    order = np.argsort(key)
+    sent = source.sparkSession.sparkContext.broadcast((key[order], logp[order]))
+
+    def score(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *_rated(text_bytes(b.column(1)), *sent.value)], ["id", "lang", "n_bytes", "perplexity"])
+
+    return source.mapInArrow(score, f"id {kind}, lang string, n_bytes long, perplexity double")
+
+
+def _by_chunk(chunks: DataFrame, probs: DataFrame, kind: str) -> DataFrame:
+    """Scores by a join: every chunk asks once for each of its distinct n-grams."""
+
     def ask(t: pa.Table) -> pa.Table:
         key, _ = _counted(text_bytes(unpacked(t).column("text")))
         return pa.table({"chunk": pa.array(np.full(len(key), t.column("chunk")[0].as_py(), np.int64)), "key": pa.array(key)})
 
-    asked = chunks.groupBy("chunk").applyInArrow(ask, "chunk long, key long")
-    found = asked.join(log_probs(cut(asked.select("key").distinct()), levels), "key").select("chunk", "key", F.col("logp").cast("float").alias("logp"))
-
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         d = unpacked(left)
-        raw = text_bytes(d.column("text"))
-        key, logp = right.column("key").to_numpy(), right.column("logp").to_numpy().astype(np.float64)
+        key, logp = right.column("key").to_numpy(), right.column("logp").to_numpy()
         order = np.argsort(key)
-        key, logp = key[order], logp[order]
-        size, total = np.zeros(len(raw), np.int64), np.zeros(len(raw))
-        for s, e in slices([len(t) for t in raw]):
-            k, n = grams(raw[s:e])
-            size[s:e] = n
-            at = np.searchsorted(key, k)
-            if len(k):
-                if not len(key) or (key[np.minimum(at, len(key) - 1)] != k).any():
-                    raise ValueError("a chunk was made again with other rows; read the input from a stable source")
-                total[s:e] = np.bincount(np.repeat(np.arange(e - s), n), weights=logp[at], minlength=e - s)
-        ppl = np.exp(-total / np.maximum(size, 1))
-        return pa.table({"id": d.column("id"), "lang": d.column("lang"), "n_bytes": pa.array(size), "perplexity": pa.array(ppl, mask=size == 0)})
-
-    scored = chunks.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(score, f"id {kind}, lang string, n_bytes long, perplexity double")
-    learned = wanted.select("id").distinct().withColumn("trusted", F.lit(True))
-    scored = cut(scored).join(learned, "id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
-    return scored.select("id", "lang", "n_bytes", "trusted", "perplexity").withColumnRenamed("id", id_col)
+        size, ppl = _rated(text_bytes(d.column("text")), key[order], logp[order])
+        return pa.table({"id": d.column("id"), "lang": d.column("lang"), "n_bytes": size, "perplexity": ppl})
+
+    found = chunks.groupBy("chunk").applyInArrow(ask, "chunk long, key long").join(probs, "key").select("chunk", "key", "logp")
+    return chunks.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(score, f"id {kind}, lang string, n_bytes long, perplexity double")
 
 
 def _counted(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
