@@ -4,7 +4,8 @@ log P(word | history) = log P(class | history) + log P(word | class). The first
 classes whose scores sum hashed features of the history: the last word, the last two, and two skips (the second and the
 third last). The ``TOP`` most frequent words and the end of a text are classes of their own; other words fall into classes
 by their endings, and within a class take their smoothed share of its training count. Weights start from the counts of
-features with classes over the whole training text and are improved by synchronous distributed gradient updates: every
+features with classes over the whole training text, pulled towards the classes' shares as strongly as leaving one token
+out says is best, and are improved by synchronous distributed gradient updates: every
 chunk sums its gradient over every ``STRIDE``-th token of every training document, the sums are added block by block, and
 each row of weights moves by its mean gradient. Chunks are scored in numpy batches.
 
@@ -24,7 +25,8 @@ from pyspark.sql import DataFrame
 from .common import LOWER, SPACE_SEPARATED, Words, bounded_batches, cut, mix, one_by_one, packed, slices, text_bytes, unpacked
 
 CLASSES, TOP, TEMPLATES, ROWS, BLOCK_ROWS = 64, 47, 4, 4096, 128
-STRIDE, ROUNDS, RATE, PRIOR, START, CHUNK_BYTES, BATCH = 8, 1, 0.7, 20.0, 0.35, 8 << 20, 1 << 15
+STRIDE, ROUNDS, RATE, START, CHUNK_BYTES, BATCH = 8, 1, 0.7, 0.35, 8 << 20, 1 << 15
+PRIORS = (5.0, 20.0, 80.0, 320.0, 1280.0, 5120.0, 1e5, 1e9)
 _END, _BEGIN = np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CAA73B)
 
 
@@ -204,7 +206,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     prior = (seen[0].sum(0) + 1) / (seen[0].sum() + CLASSES)
     each = seen.sum(2, keepdims=True)
     bias = np.log(prior).astype(np.float32)
-    weights = (START * (np.log((seen + PRIOR * prior) / (each + PRIOR)) - np.log(prior))).astype(np.float32)
+    pull = prior_strength(seen, prior)
+    weights = (START * (np.log((seen + pull * prior) / (each + pull)) - np.log(prior))).astype(np.float32)
 
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast((bias, weights))
@@ -230,7 +233,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
             return out
 
         g = summed(slope, CLASSES + 1)
-        mean = g[:, :, :CLASSES] / (g[:, :, CLASSES:] + PRIOR)
+        mean = g[:, :, :CLASSES] / (g[:, :, CLASSES:] + pull)
         weights = (weights + RATE * mean / np.sqrt(prior * (1 - prior) + 1e-4)).astype(np.float32)
     sent = spark.sparkContext.broadcast((bias, weights))
     scale = math.log10(tokens + distinct_words + 1)
@@ -270,6 +273,19 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     return out.withColumnRenamed("id", id_col)
 
 
+def prior_strength(seen: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """For each template, the number of prior counts under which its counts best predict each token from all the others."""
+    out = []
+    for counts in seen:
+        total = counts.sum(1, keepdims=True)
+        gain = []
+        for a in PRIORS:
+            left = np.log((np.maximum(counts - 1, 0) + a * prior) / (np.maximum(total - 1, 0) + a)) - np.log(prior)
+            gain.append(float((counts * left).sum()))
+        out.append(PRIORS[int(np.argmax(gain))])
+    return np.array(out)[:, None, None]
+
+
 def _best(parts: list[np.ndarray]) -> np.ndarray:
     """The most frequent words of several lists."""
     both = np.concatenate(parts, axis=1)
