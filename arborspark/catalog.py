@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import builder, coerce, entities
 from .functions.html import ELEMENT
-from .operators import arrays, extract, mutate, relational, structured
+from .operators import arrays, extract, mutate, navigate, relational, structured, templates
 from .operators.nodes import nodes, parse, tokens
 from .plans.schema import Schema
 from .sources import cache, crawl, files, robots
@@ -191,6 +191,40 @@ def q_token_kinds(spark, sf_dir):
     return tokens(_pages(spark, sf_dir)).where(F.col("kind").isin("comment", "doctype", "start")).groupBy("page_id", "kind").agg(F.count("*").alias("n"))
 
 
+@query(f"SELECT page_id, 'li' AS tag, 'parent' AS step, CAST(len(regexp_extract_all(html, '<li>')) AS BIGINT) AS n FROM pages UNION ALL SELECT page_id, 'ul', 'ancestor', CAST(1 AS BIGINT) FROM pages UNION ALL SELECT page_id, 'li', 'next', CAST(len(regexp_extract_all(html, '<li>')) - 1 AS BIGINT) FROM pages WHERE len(regexp_extract_all(html, '<li>')) > 1 UNION ALL SELECT page_id, 'li', 'child', CAST(len(regexp_extract_all(html, '<li>')) AS BIGINT) FROM pages UNION ALL SELECT page_id, 'li', 'first', CAST(1 AS BIGINT) FROM pages")
+def q_navigation(spark, sf_dir):
+    n = _nodes(spark, sf_dir)
+    links, items, lists = (relational.select(n, s) for s in ("nav a", "nav li", "nav ul"))
+    steps = {"parent": navigate.parent(n, links), "ancestor": navigate.ancestors(n, links, "ul"), "next": navigate.next_element(n, items), "child": navigate.children(n, lists), "first": navigate.first_element_child(n, lists)}
+    parts = [d.groupBy("page_id", "tag").agg(F.count("*").alias("n")).withColumn("step", F.lit(k)) for k, d in steps.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query(f"SELECT page_id, 'href' AS name, {_text('h')} AS value FROM ({_LINKS})")
+def q_attributes(spark, sf_dir):
+    return navigate.attributes(relational.select(_nodes(spark, sf_dir), "nav a")).select("page_id", "name", "value")
+
+
+@query("SELECT page_id, CAST(len(regexp_extract_all(html, '<li>')) AS BIGINT) AS n, CAST(len(list_filter(regexp_extract_all(html, '<a href=\"([^\"]*)\">', 1), lambda h: starts_with(h, '/th'))) AS BIGINT) AS n_hit FROM pages")
+def q_matches(spark, sf_dir):
+    n = _nodes(spark, sf_dir)
+    m = navigate.matches(n, relational.select(n, "nav a"), '[href^="/th"]')
+    return m.groupBy("page_id").agg(F.count("*").alias("n"), F.count_if("matches").alias("n_hit"))
+
+
+@query(f"SELECT page_id, CAST(0 AS INTEGER) AS ord, {_text("regexp_extract(html, '<h1>(.*?)</h1>', 1)")} AS text, trim(regexp_replace({_text("regexp_extract(html, '<h1>(.*?)</h1>', 1)")}, '[ \t\r\n\f\v]+', ' ', 'g'), ' ') AS clean_text, false AS blank FROM pages")
+def q_texts(spark, sf_dir):
+    return navigate.texts(_pages(spark, sf_dir), "h1").select("page_id", "ord", "text", "clean_text", "blank")
+
+
+@query(f"SELECT page_id, {_text("regexp_extract(html, '<title>(.*?)</title>', 1)")} AS title, 'html' AS doctype, true AS has_head, true AS has_body, CAST(len(regexp_extract_all(regexp_replace(html, '(<script>).*?(</script>)', '\\1\\2', 'g'), '<[a-z]')) AS INTEGER) AS elements FROM pages")
+def q_document_info(spark, sf_dir):
+    return navigate.documents(_pages(spark, sf_dir)).select("page_id", "title", "doctype", "has_head", "has_body", "elements")
+
+
 # --- xpath -----------------------------------------------------------------------------------------------------------------
 
 
@@ -290,6 +324,16 @@ def q_page_types(spark, sf_dir):
     return structured.page_types(_pages(spark, sf_dir))
 
 
+@query("SELECT * FROM (VALUES (CAST(0 AS BIGINT), 'a'), (1, 'b'), (3, 'c')) t(page_id, name)")
+def q_templates(spark, sf_dir):
+    pages = _inline(spark, "<main><h1>a</h1></main>", "<main><h1>b</h1></main>", "<p>x</p>", "<div><b>c</b></div>")
+    prints = {r["page_id"]: r["fingerprint"] for r in structured.fingerprints(pages).collect()}
+    registry = templates.TemplateRegistry()
+    registry.register(prints[0], Schema().field("name", "h1"))
+    registry.register(prints[3], Schema().field("name", "b"))
+    return registry.extract(pages).select("page_id", "name")
+
+
 @query("SELECT page_id, 'utf-8' AS encoding, html FROM pages")
 def q_decode_bytes(spark, sf_dir):
     raw = _pages(spark, sf_dir).select("page_id", F.encode("html", "utf-8").alias("content"))
