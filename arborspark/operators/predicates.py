@@ -12,7 +12,6 @@ from ..functions.html import ELEMENT
 from ..plans.css import STATES, Attr, Compound, Pseudo, SelectorError
 
 Get = Callable[[str], Column]
-FALSE, TRUE = F.lit, F.lit
 
 
 def all_of(parts: list[Column]) -> Column:
