@@ -191,7 +191,7 @@ class Forest:
 
 
 def train(findings: list[tuple[str, str, str, str, int]], **options) -> Forest:
-    x = np.array([features(*f[:4]) for f in findings]).reshape(len(findings), -1)
+    x = np.array([features(*f[:4]) for f in findings or [("", "x", "", "", 0)]])[: len(findings)]
     return Forest(x, np.array([f[4] for f in findings], float), **options)
 
 
