@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a worker handles at a time; bounds the arrays built from them.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,16 +29,41 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df with its lineage cut by a reliable checkpoint.
+
+    The frame that checkpoint() returns also keeps the size that was estimated for df. Estimates of joins are products, so
+    after some rounds of joins and checkpoints they are numbers of millions of digits, which fill the driver; so the
+    checkpoint is wrapped as a source of unknown size, and adaptive execution goes by the sizes that it measures.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    kept = df.checkpoint(eager=True)._jdf
+    file = kept.queryExecution().analyzed().rdd().getCheckpointFile()
+    out = DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
+    out._checkpoint_file = file.get() if file.isDefined() else None
+    return out
+
+
+def release(*frames: DataFrame | None) -> None:
+    """Deletes the checkpoints of frames from cut() that nothing will read again, rather than when the driver collects garbage."""
+    for df in frames:
+        file = getattr(df, "_checkpoint_file", None)
+        if file:
+            sc = df.sparkSession.sparkContext
+            path = sc._jvm.org.apache.hadoop.fs.Path(file)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+            df._checkpoint_file = None
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bounds Arrow batches by bytes as well as rows, where the session does not say otherwise."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, None) in (None, "-1", str(1 << 28), "256MB", "268435456b"):
-        spark.conf.set(key, str(32 << 20))
+    """Smaller Arrow batches than Spark's defaults, by rows and by bytes, where the session has not chosen others.
+
+    Texts are long, and a batch is held several times over (in the JVM, on its way, and in the worker).
+    """
+    for key, default, ours in (("maxRecordsPerBatch", "10000", "2000"), ("maxBytesPerBatch", str(1 << 28), str(4 << 20))):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key, default).lower().removesuffix("b") in (default, "256m", "-1"):
+            spark.conf.set(key, ours)
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:

@@ -5,30 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component (smallest node reachable) for every node of edges (a, b); loops and repeated edges are harmless.
 
-    In each round every node moves to the neighbour (or itself) with the smallest hash and edges are drawn between what
-    is left, which shrinks any graph, long paths too, by a constant share. Minima are aggregated before they are
-    shuffled, and joins read written tables on both sides, so that adaptive execution can split a hot node.
+    In each round every node moves to the least of its neighbours and itself, and edges are drawn between what is left.
+    Rounds alternate between the least number, which settles stars at once, and the least hash, which shrinks any graph,
+    long paths too, by a constant share. Minima are aggregated before they are shuffled, and joins read written tables on
+    both sides, so that adaptive execution can split a hot node.
     """
     e = cut(edges.select("a", "b").where("a <> b").distinct())
-    labels = None
+    labels, turn = None, 0
     while not e.isEmpty():
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        best = F.least(F.min(F.struct(F.xxhash64("b").alias("h"), F.col("b").alias("n"))), F.struct(F.xxhash64("a").alias("h"), F.col("a").alias("n")))
-        moved = cut(both.groupBy("a").agg(best["n"].alias("to")).withColumnRenamed("a", "from"))
+        if turn % 2:
+            best = F.least(F.min(F.struct(F.xxhash64("b").alias("h"), F.col("b").alias("n"))), F.struct(F.xxhash64("a").alias("h"), F.col("a").alias("n")))["n"]
+        else:
+            best = F.least(F.min("b"), F.col("a"))
+        turn += 1
+        moved = cut(both.groupBy("a").agg(best.alias("to")).withColumnRenamed("a", "from"))
+        old_edges, old_labels = e, labels
         if labels is None:
-            labels = moved.select(F.col("from").alias("node"), F.col("to").alias("label"))
+            labels = cut(moved.select(F.col("from").alias("node"), F.col("to").alias("label")))
         else:
             labels = cut(labels.join(moved, labels["label"] == moved["from"], "left").select("node", F.coalesce("to", "label").alias("label")))
         left = moved.select(F.col("from").alias("a"), F.col("to").alias("a2"))
         right = moved.select(F.col("from").alias("b"), F.col("to").alias("b2"))
         e = cut(e.join(left, "a").join(right, "b").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).where("a <> b").distinct())
+        release(old_edges, old_labels, moved)
     if labels is None:
         return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     least = cut(labels.groupBy("label").agg(F.min("node").alias("component")))
-    return labels.join(least, "label").select("node", "component")
+    out = cut(labels.join(least, "label").select("node", "component"))
+    release(e, labels, least)
+    return out
