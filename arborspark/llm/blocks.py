@@ -6,9 +6,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 
 def deal(rows: DataFrame, key: str, count: str, spread: str, block: int) -> DataFrame:
     """rows with _i and _j: the pair of blocks that each copy is for, and _b, its own block; count is the size of its group."""
@@ -18,6 +20,28 @@ def deal(rows: DataFrame, key: str, count: str, spread: str, block: int) -> Data
     return own.withColumn("_o", other).withColumn("_i", F.least("_b", "_o")).withColumn("_j", F.greatest("_b", "_o")).drop("_o", "_n")
 
 
+def deal_apart(rows: DataFrame, key: str, group: str, spread: str, block: int) -> DataFrame:
+    """deal() for keys whose rows are in known groups: only pairs of different groups are wanted.
+
+    A group of more than block rows of a key gets blocks of its own, which are not paired with each other, so a large group
+    among few others makes copies in proportion to its size; all smaller groups share the key's first blocks.
+    """
+    sizes = cut(rows.groupBy(key, group).agg(F.count("*").alias("_c")))
+    big = F.col("_c") > block
+    mixed = sizes.groupBy(key).agg(F.ceil(F.sum(F.when(big, 0).otherwise(F.col("_c"))) / block).cast("int").alias("_mixed"), F.sum(F.when(big, F.ceil(F.col("_c") / block)).otherwise(0)).cast("int").alias("_bigs"))
+    before = Window.partitionBy(key).orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
+    large = sizes.where(big).withColumn("_nb", F.ceil(F.col("_c") / block).cast("int"))
+    large = large.withColumn("_off", F.coalesce(F.sum("_nb").over(before), F.lit(0)).cast("int")).select(key, group, "_nb", "_off")
+    out = rows.join(cut(mixed), key).join(cut(large), [key, group], "left")
+    h = F.xxhash64(spread, F.lit(7))
+    out = out.withColumn("_b", F.when(F.col("_nb").isNull(), F.pmod(h, F.greatest("_mixed", F.lit(1)))).otherwise(F.col("_mixed") + F.col("_off") + F.pmod(h, F.greatest("_nb", F.lit(1)))).cast("int"))
+    others = F.when(F.col("_mixed") + F.col("_bigs") > 0, F.sequence(F.lit(0), F.col("_mixed") + F.col("_bigs") - 1))
+    first = F.col("_mixed") + F.col("_off")
+    others = F.filter(others, lambda o: F.col("_nb").isNull() | (o < first) | (o >= first + F.col("_nb")))
+    out = out.withColumn("_o", F.explode(others)).withColumn("_i", F.least("_b", "_o")).withColumn("_j", F.greatest("_b", "_o"))
+    return out.drop("_o", "_mixed", "_bigs", "_nb", "_off")
+
+
 def by_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """The groups of a stream that is sorted by keys, each as a table; holds one group at a time."""
     held: list[pa.RecordBatch] = []
@@ -55,8 +79,8 @@ def forest(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
-def grouped(dealt: DataFrame, keys: list[str], compute: Callable[[pa.Table], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """compute() on every group of equal keys, streamed through sorted partitions."""
+def grouped(dealt: DataFrame, keys: list[str], order: str, compute: Callable[[pa.Table], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """compute() on every group of equal keys, in the order of a column, streamed through sorted partitions."""
 
     def run(batches):
         for t in by_group(batches, keys):
@@ -64,4 +88,4 @@ def grouped(dealt: DataFrame, keys: list[str], compute: Callable[[pa.Table], pa.
             if got is not None and got.num_rows:
                 yield got
 
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return dealt.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(run, schema)

@@ -118,12 +118,12 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         return pa.RecordBatch.from_arrays([pa.array(ids[on]), pa.array(ids[forest(linked)[on]]), pa.array(total.astype(np.int64))], ["a", "b", "weight"])
 
     dealt = deal(full, "bucket", "n", "id", BLOCK).join(reps, "id").select("bucket", "_i", "_j", "_b", "id", "v", "label")
-    met = grouped(dealt, ["bucket", "_i", "_j"], lambda t: verify(t, None), "a long, b long, weight long")
+    met = grouped(dealt, ["bucket", "_i", "_j"], "id", lambda t: verify(t, None), "a long, b long, weight long")
     group = cut(components(met))
     sizes = cut(group.groupBy("component").agg(F.count("*").alias("m")))
     members = group.join(sizes, "component").join(folded.select(F.col("rep").alias("id"), "v", "label", F.col("n").alias("w")), F.col("node") == F.col("id"))
     dealt = deal(members, "component", "m", "id", BLOCK).select("component", "_i", "_j", "_b", "id", "v", "label", "w")
-    links = cut(grouped(dealt, ["component", "_i", "_j"], lambda t: verify(t, np.asarray(t.column("w"))), "a long, b long, weight long"))
+    links = cut(grouped(dealt, ["component", "_i", "_j"], "id", lambda t: verify(t, np.asarray(t.column("w"))), "a long, b long, weight long"))
     classes = components(links.select("a", "b"))
     direct = links.groupBy("a").agg(F.sum("weight").alias("direct"))
     final = folded.join(classes, F.col("rep") == F.col("node"), "left").join(direct, F.col("rep") == F.col("a"), "left")

@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import deal, forest, grouped
-from .common import ALPHANUMERIC, LOWER, Words, bounded_batches, cut, mix, slices, text_bytes, window_hash
+from .blocks import deal, deal_apart, forest, grouped
+from .common import ALPHANUMERIC, LOWER, Words, bounded_batches, cut, mix, release, slices, text_bytes, window_hash
 from .components import components
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9999
@@ -121,11 +121,11 @@ def _exact_links(doc: np.ndarray, h: np.ndarray, n: int, threshold: float) -> np
     return out
 
 
-def _emit(ids: np.ndarray, linked: np.ndarray, weight: np.ndarray | None) -> pa.RecordBatch:
+def _emit(ids: np.ndarray, linked: np.ndarray, weight: np.ndarray) -> pa.RecordBatch:
     """For each member with a link: the member it is joined to and the weight of its links."""
     root = forest(linked)
     on = np.flatnonzero(linked.any(1))
-    total = linked[on] @ weight if weight is not None else np.zeros(len(on), np.int64)
+    total = linked[on] @ weight
     return pa.RecordBatch.from_arrays([pa.array(ids[on]), pa.array(ids[root[on]]), pa.array(total.astype(np.int64))], ["a", "b", "weight"])
 
 
@@ -163,8 +163,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     reps = folded.select(F.col("rep").alias("id"), "sketch")
 
-    def tree(first: int, last: int) -> DataFrame:
-        """(path, id, n) of the buckets with company in which runs first to last - 1 leave the sets."""
+    def tree(first: int, last: int) -> tuple[DataFrame, list[DataFrame]]:
+        """(path, id, n) of the buckets with company in which runs first to last - 1 leave the sets, and what holds them."""
 
         def split(batches):
             """The children of nodes, from (id, path, sketch); path null stands for the roots of all runs."""
@@ -179,40 +179,60 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         if len(on):
                             yield pa.RecordBatch.from_arrays([pa.array(_step(path[on], c[on], sk[on, c[on]]).view(np.int64)), pa.array(ids[on])], ["path", "id"])
 
-        leaves = None
+        leaves, done = None, []
         nodes = reps.select("id", F.lit(None).cast("long").alias("path"), "sketch")
         for depth in range(1, DEPTH + 1):
-            rows = cut(nodes.mapInArrow(split, "path long, id long"))
-            counts = cut(rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"))
-            rows = rows.join(counts, "path")
-            if depth < DEPTH:
-                rows = cut(rows)
-                deep = rows.where(F.col("n") > LEAF)
+            children = cut(nodes.mapInArrow(split, "path long, id long"))
+            counts = cut(children.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"))
+            rows = cut(children.join(counts, "path"))
+            last = depth == DEPTH or counts.where(F.col("n") > LEAF).isEmpty()
+            release(children, counts)
+            done.append(rows)
+            if not last:
+                nodes = rows.where(F.col("n") > LEAF).select("path", "id").join(reps, "id").select("id", "path", "sketch")
                 rows = rows.where(F.col("n") <= LEAF)
-                nodes = deep.select("path", "id").join(reps, "id").select("id", "path", "sketch")
             leaves = rows if leaves is None else leaves.unionByName(rows)
-            if depth < DEPTH and deep.isEmpty():
+            if last:
                 break
-        return leaves
+        return leaves, done
 
     def meet(t: pa.Table) -> pa.RecordBatch | None:
         ids, b = np.asarray(t.column("id")), np.asarray(t.column("_b"))
         if len(ids) < 2 or _one_side(t, b):
             return None
         sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint32).reshape(-1, BINS)
-        return _emit(ids, _across(b, lambda x, y: _sketch_links(sk[x], sk[y], threshold, SIGMAS)), None)
-
-    def met(leaves: DataFrame) -> DataFrame:
-        dealt = deal(leaves, "path", "n", "id", MEET_BLOCK).join(reps, "id")
-        return grouped(dealt.select("path", "_i", "_j", "_b", "id", "sketch"), ["path", "_i", "_j"], meet, "a long, b long, weight long").select("a", "b")
-
-    # a bucket whose sets the first runs have all brought into one group has nothing to add: its pairs are compared there
-    group = cut(components(met(tree(0, FIRST_RUNS))))
-    leaves = tree(FIRST_RUNS, runs).join(group, F.col("id") == F.col("node"), "left").withColumn("g", F.coalesce("component", "id"))
-    leaves = cut(leaves.select("path", "id", "n", "g"))
-    open_paths = leaves.groupBy("path").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 < g1").select("path")
-    later = met(leaves.join(cut(open_paths), "path"))
-    group = cut(components(later.unionByName(group.select(F.col("node").alias("a"), F.col("component").alias("b")))))
+        linked = _sketch_links(sk, sk, threshold, SIGMAS)
+        np.fill_diagonal(linked, False)
+        same = b[:, None] == b[None, :]
+        root = forest(linked & same)
+        if same.all():
+            on = np.flatnonzero(root != np.arange(len(root)))
+            pairs = np.stack([on, root[on]], axis=1)
+        else:  # trees within the blocks are another task's; one edge for each two trees that meet
+            x, y = np.nonzero(linked & ~same)
+            pairs = np.unique(np.stack([root[x], root[y]], axis=1), axis=0)
+            pairs = pairs[pairs[:, 0] < pairs[:, 1]]
+        return pa.RecordBatch.from_arrays([pa.array(ids[pairs[:, 0]]), pa.array(ids[pairs[:, 1]])], ["a", "b"])
+
+    def met(dealt: DataFrame) -> DataFrame:
+        """Links between sets that meet; dealt has a copy of each row for each pair of blocks."""
+        rows = dealt.select("path", "_i", "_j", "_b", "id").join(reps, "id")
+        return grouped(rows.select("path", "_i", "_j", "_b", "id", "sketch"), ["path", "_i", "_j"], "id", meet, "a long, b long")
+
+    # what the first runs have brought into one group is compared within the group later, so later runs look only for
+    # pairs of different groups: buckets with one group are left out, and large groups are not paired with themselves
+    leaves, held = tree(0, FIRST_RUNS)
+    group = components(met(deal(leaves, "path", "n", "id", MEET_BLOCK)))
+    release(*held)
+    leaves, held = tree(FIRST_RUNS, runs)
+    known_groups = leaves.join(group, F.col("id") == F.col("node"), "left").select("path", "id", F.coalesce("component", "id").alias("g"))
+    known_groups = cut(known_groups)
+    release(*held)
+    open_paths = cut(known_groups.groupBy("path").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 < g1").select("path"))
+    later = cut(met(deal_apart(cut(known_groups.join(open_paths, "path")), "path", "g", "id", MEET_BLOCK)))
+    release(known_groups, open_paths)
+    group = components(later.unionByName(group.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    release(later)
 
     sizes = cut(group.groupBy("component").agg(F.count("*").alias("n")))
     members = group.join(sizes, "component").join(folded.select(F.col("rep").alias("node"), F.col("n").alias("w")), "node")
@@ -230,7 +250,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     one = known.join(members, "id").dropDuplicates(["id"]) if _repeated(sets) else known.join(members, "id")
     dealt = deal(one, "component", "n", "id", BLOCK).select("component", "_i", "_j", "_b", "id", "w", "text")
-    links = cut(grouped(dealt, ["component", "_i", "_j"], compare, "a long, b long, weight long"))
+    links = cut(grouped(dealt, ["component", "_i", "_j"], "id", compare, "a long, b long, weight long"))
     classes = components(links.select("a", "b"))
     direct = links.groupBy("a").agg(F.sum("weight").alias("direct"))
     final = folded.select("s1", "s2", "size", "rep", "n").join(classes, F.col("rep") == F.col("node"), "left").join(direct, F.col("rep") == F.col("a"), "left")
@@ -251,21 +271,6 @@ def _repeated(sets: DataFrame) -> bool:
     return not sets.groupBy("id").count().where("count > 1").isEmpty()
 
 
-def _across(block: np.ndarray, links) -> np.ndarray:
-    """The full matrix of links of a group that holds one block (all pairs) or two (pairs across them)."""
-    n = len(block)
-    out = np.zeros((n, n), bool)
-    parts = [np.flatnonzero(block == b) for b in np.unique(block)]
-    if len(parts) == 1:
-        out = links(parts[0], parts[0])
-        np.fill_diagonal(out, False)
-    else:
-        got = links(parts[0], parts[1])
-        out[np.ix_(parts[0], parts[1])] = got
-        out[np.ix_(parts[1], parts[0])] = got.T
-    return out
-
-
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with one row of each class of near_duplicates(), the one with the smallest id; all columns stay.
 
