@@ -130,3 +130,32 @@ def item(found: DataFrame, i: int, n: int | None = None) -> DataFrame:
     if i >= 0:
         return r.where(F.col("ord").between(i + 1, i + size)).drop("ord", "ord_rev")
     return r.where(F.col("ord_rev").between(max(1, -i - size + 1), -i)).drop("ord", "ord_rev")
+
+
+def reverse(found: DataFrame) -> DataFrame:
+    """found with ord counted from the end of each page's set."""
+    return ranked(found).drop("ord").withColumnRenamed("ord_rev", "ord")
+
+
+def without_last(found: DataFrame) -> DataFrame:
+    return ranked(found).where("ord_rev > 1").drop("ord", "ord_rev")
+
+
+def without_first(found: DataFrame) -> DataFrame:
+    return ranked(found).where("ord > 1").drop("ord", "ord_rev")
+
+
+def index_of(found: DataFrame, other: DataFrame) -> DataFrame:
+    """page_id, node_id, index (from 0; null if absent) of the nodes of other in each page's set."""
+    place = ranked(found).select(*KEY, (F.col("ord") - 1).alias("index"))
+    return other.select(*KEY).join(place, KEY, "left")
+
+
+def includes(found: DataFrame, other: DataFrame) -> DataFrame:
+    return index_of(found, other).select(*KEY, F.col("index").isNotNull().alias("included"))
+
+
+def joined_text(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """page_id, text: the texts of each page's set, one after another."""
+    parts = F.array_sort(F.collect_list(F.struct("node_id", "text")))
+    return text(nodes, found).groupBy("page_id").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "").alias("text"))

@@ -17,7 +17,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from http.cookiejar import CookieJar
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import encoding
@@ -259,3 +259,8 @@ def from_cache(responses: DataFrame, cache: DataFrame, url_col: str = "url") ->
     out = responses.join(held, responses[url_col] == F.col("_url"), "left")
     hit = (F.col("status") == 304) & F.col("_body").isNotNull()
     return out.withColumn("body", F.when(hit, F.col("_body")).otherwise(F.col("body"))).withColumn("hit", hit).withColumn("status", F.when(hit, 200).otherwise(F.col("status"))).drop("_url", "_body")
+
+
+def cache_key(url: Column) -> Column:
+    """An opaque key of 32 hexadecimal digits for an address."""
+    return F.substring(F.sha2(url, 256), 1, 32)

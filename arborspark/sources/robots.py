@@ -104,3 +104,12 @@ def judge(urls: DataFrame, rules: DataFrame, user_agent: str, url_col: str = "ur
     verdict = F.array_max(hits)["kind"]
     out = urls.withColumn("_host", host).join(best.withColumnRenamed("host", "_host"), "_host", "left")
     return out.withColumn("allowed", F.coalesce(verdict == "allow", F.lit(True))).drop("_host", "rules")
+
+
+def fetch(origins: DataFrame, origin_col: str = "origin", options=None) -> DataFrame:
+    """host and body of each origin's robots.txt; an answer other than 200 gives an empty file, which allows everything."""
+    from .http import fetch as ask
+
+    asked = origins.select(F.concat(F.rtrim(F.col(origin_col), F.lit("/")), F.lit("/robots.txt")).alias("url")).distinct()
+    host = F.lower(F.regexp_extract("url", r"://([^/?#:]+)", 1))
+    return ask(asked, options).select(host.alias("host"), F.when(F.col("status") == 200, F.decode("body", "UTF-8")).otherwise("").alias("body"))

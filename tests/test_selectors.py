@@ -85,3 +85,13 @@ def test_sets_of_nodes(tables):
     assert relational.intersection(li, li).count() == 5 and relational.first(li).select("data").count() == 1
     assert [r["text"] for r in relational.text(n, relational.item(li, 1, 2)).orderBy("node_id").collect()] == ["2", "3!"]
     assert [r["text"] for r in relational.text(n, relational.item(li, -1)).collect()] == ["5"]
+
+
+def test_more_of_sets(tables):
+    n, _ = tables
+    li = relational.select(n, "li")
+    assert [r["text"] for r in relational.joined_text(n, li).collect()] == ["123!45"]
+    assert relational.without_last(li).count() == relational.without_first(li).count() == 4
+    assert sorted(r["ord"] for r in relational.reverse(li).collect()) == [1, 2, 3, 4, 5]
+    assert [r["index"] for r in relational.index_of(li, relational.select(n, "li.x")).collect()] == [1]
+    assert {r["included"] for r in relational.includes(li, relational.select(n, "h2")).collect()} == {False}

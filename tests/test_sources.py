@@ -173,3 +173,21 @@ def test_command_line(tmp_path, capsys):
     out = capsys.readouterr().out.splitlines()
     assert json.loads(out[1]) == "article" and json.loads(out[-1]) == json.loads(out[-2]) == ["/x"]
     assert cli.main(["version"]) == 0 and isinstance(pd.DataFrame(), pd.DataFrame)
+
+
+def test_robots_of_origins(spark, server):
+    got = robots.fetch(spark.createDataFrame([(server + "/",)], "origin string")).first()
+    assert got["host"] == "127.0.0.1" and "path" in got["body"]
+
+
+def test_one_page_at_hand(spark, tmp_path):
+    from arborspark import api
+    from arborspark.plans.schema import Schema
+
+    (tmp_path / "p.html").write_bytes("<h1>é</h1>".encode())
+    schema = Schema().field("h", "h1")
+    assert api.extract_file(str(tmp_path / "p.html"), schema) == api.extract("<h1>é</h1>".encode(), schema) == {"h": "é"}
+    with open(tmp_path / "p.html", "rb") as f:
+        assert len(api.parse_io(f)) == len(api.HTML("<h1>é</h1>")) == 3
+    got = api.parallel_parse(spark, ["<p>", "", "<b>x"], 2).orderBy("page_id").collect()
+    assert [len(r["dom"]) for r in got] == [2, 1, 3]
