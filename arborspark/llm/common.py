@@ -47,14 +47,18 @@ def cut(df: DataFrame) -> DataFrame:
 def release(*frames: DataFrame | None) -> None:
     """Deletes the checkpoints of frames from cut() that nothing will read again, rather than when the driver collects garbage."""
     for df in frames:
-        file = getattr(df, "_checkpoint_file", None)
-        if file:
-            sc = df.sparkSession.sparkContext
-            path = sc._jvm.org.apache.hadoop.fs.Path(file)
-            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        if file := getattr(df, "_checkpoint_file", None):
+            remove(df.sparkSession, file)
             df._checkpoint_file = None
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder in whatever file system it is in."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Smaller Arrow batches than Spark's defaults, by rows and by bytes, where the session has not chosen others.
 

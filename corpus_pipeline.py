@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborspark.llm import decontaminate, jaccard, langid, packing, secrets
-from arborspark.llm.common import shared_dir
+from arborspark.llm.common import remove, shared_dir
 from arborspark.llm.queries import table, tokenizer_path
 
 
@@ -62,10 +62,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each written as Parquet in the shared folder and read again by the next."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages over documents, each written as Parquet in the shared folder and read again by the next, then removed."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/{uuid.uuid4().hex}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if last:
+            remove(spark, last)
+        docs, last = spark.read.parquet(path), path
     return docs
