@@ -58,13 +58,26 @@ def _columns(doms: list[Dom]) -> list[pa.Array]:
     return [pa.array(cols[name], kind) for name, kind in _ARROW]
 
 
+#: Sizes (as the optimizer estimates them) between which a table in few files is dealt out over the cores.
+SPREAD = (1 << 20, 64 << 20)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table dealt out over the cores, as one file is otherwise one task; larger tables stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or cores < 2:
+        return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if SPREAD[0] <= size <= SPREAD[1] else df
+
+
 def map_rows(df: DataFrame, html_col: str, compute: Callable[[Dom, dict[str, Any]], Iterable[tuple]], schema: str | StructType, keep: tuple[str, ...], needs: tuple[str, ...] = ()) -> DataFrame:
     """Rows that compute(document, row) makes of every page, after the columns keep; a null page is an empty document.
 
     Only html_col, keep and needs are read and sent to the workers.
     """
     names = list(dict.fromkeys([*keep, *needs, html_col]))
-    source = df.select(*names)
+    source = spread(df.select(*names))
     out = schema if isinstance(schema, StructType) else _parse_datatype_string(schema)
     full = StructType([*(df.schema[k] for k in keep), *out.fields])
     arrow = to_arrow_schema(full)
@@ -102,7 +115,7 @@ def parse(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_
             nodes = pa.StructArray.from_arrays(_columns(doms), names=[n for n, _ in _ARROW])
             yield pa.RecordBatch.from_arrays([*(b.column(names.index(k)) for k in keep), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), nodes)], [*keep, "dom"])
 
-    return df.select(*names).mapInArrow(run, fields)
+    return spread(df.select(*names)).mapInArrow(run, fields)
 
 
 def _struct() -> str:
@@ -120,7 +133,7 @@ def nodes(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_
             row = pa.array([i for i, d in enumerate(doms) for _ in range(len(d))], pa.int64())
             yield pa.RecordBatch.from_arrays([*(b.column(names.index(k)).take(row) for k in keep), *_columns(doms)], [*keep, *(n for n, _ in _ARROW)])
 
-    return df.select(*names).mapInArrow(run, fields)
+    return spread(df.select(*names)).mapInArrow(run, fields)
 
 
 def elements(df: DataFrame, **options) -> DataFrame:
@@ -140,4 +153,4 @@ def tokens(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page
             text = [pa.array([r[k] for r in rows], pa.string()) for k in (2, 3, 5)]
             yield pa.RecordBatch.from_arrays([*(b.column(names.index(k)).take(take) for k in keep), pa.array([r[1] for r in rows], pa.int32()), text[0], text[1], attrs, text[2]], [*keep, "seq", "kind", "name", "attrs", "data"])
 
-    return df.select(*names).mapInArrow(run, fields)
+    return spread(df.select(*names)).mapInArrow(run, fields)
