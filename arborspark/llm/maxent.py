@@ -5,9 +5,9 @@ classes whose scores sum hashed features of the history: the last word, the last
 third last). The ``TOP`` most frequent words and the end of a text are classes of their own; other words fall into classes
 by their endings, and within a class take their smoothed share of its training count. Weights start from the counts of
 features with classes over the whole training text, pulled towards the classes' shares as strongly as leaving one token
-out says is best, and are improved by synchronous distributed gradient updates: every
-chunk sums its gradient over every ``STRIDE``-th token of every training document, the sums are added block by block, and
-each row of weights moves by its mean gradient. Chunks are scored in numpy batches.
+out says is best, and are improved by ``ROUNDS`` synchronous distributed gradient updates: every
+chunk sums the model's expected counts over every token of every training document, the sums are added block by block and
+taken from the counts seen, and each row of weights moves by its mean gradient. Chunks are scored in numpy batches.
 
 Counts are exact, over all training documents. A chunk names each of its distinct words once (by a 64-bit hash) with its
 training count, dealt by ranges of the hash; what comes back is the total count of each.
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from .common import LOWER, SPACE_SEPARATED, Words, bounded_batches, cut, mix, one_by_one, packed, slices, text_bytes, unpacked
 
 CLASSES, TOP, TEMPLATES, ROWS, BLOCK_ROWS = 64, 47, 4, 4096, 128
-STRIDE, ROUNDS, RATE, START, CHUNK_BYTES, BATCH = 8, 1, 0.7, 0.35, 8 << 20, 1 << 15
+ROUNDS, RATE, START, CHUNK_BYTES, BATCH, STEP = 2, 0.7, 0.35, 8 << 20, 1 << 15, 1 << 13
 PRIORS = (5.0, 20.0, 80.0, 320.0, 1280.0, 5120.0, 1e5, 1e9)
 _END, _BEGIN = np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CAA73B)
 
@@ -90,6 +90,25 @@ def log_softmax(bias: np.ndarray, weights: np.ndarray, rows: list[np.ndarray]) -
     return z
 
 
+def expect(out: np.ndarray, bias: np.ndarray, weights: np.ndarray, rows: list[np.ndarray]) -> None:
+    """Adds to out the counts of features with classes that the model expects for these histories; equal histories are worked out once."""
+    bits = ROWS.bit_length() - 1
+    key = rows[0]
+    for r in rows[1:]:
+        key = key << bits | r
+    key, times = np.unique(key, return_counts=True)
+    for at in range(0, len(key), STEP):
+        i = slice(at, at + STEP)
+        f = [key[i] >> bits * (TEMPLATES - 1 - k) & (ROWS - 1) for k in range(TEMPLATES)]
+        p = np.exp(log_softmax(bias, weights, f))
+        p *= times[i, None].astype(np.float32)
+        for k in range(TEMPLATES):
+            order = np.argsort(f[k], kind="stable")
+            row = f[k][order]
+            first = np.flatnonzero(np.diff(row, prepend=-1))
+            out[k][row[first]] += np.add.reduceat(p[order], first, axis=0)
+
+
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 7, held: int = 2, rounds: int = ROUNDS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row.
 
@@ -212,28 +231,13 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast((bias, weights))
 
-        def slope(t: pa.Table, sent=sent) -> np.ndarray:
-            bias, weights = sent.value
-            out = np.zeros((TEMPLATES, ROWS, CLASSES + 1), np.float32)
+        def expected(t: pa.Table, sent=sent) -> np.ndarray:
+            out = np.zeros((TEMPLATES, ROWS, CLASSES), np.float32)
             for _, away, x in read(t):
-                on = np.flatnonzero(~away[x.doc])
-                on = on[(x.hash[on] + on.astype(np.uint64)) % np.uint64(STRIDE) == 0]
-                c, rows = classes(x), x.history()
-                for at in range(0, len(on), BATCH):
-                    i = on[at : at + BATCH]
-                    f = [r[i] for r in rows]
-                    g = -np.exp(log_softmax(bias, weights, f))
-                    g[np.arange(len(i)), c[i]] += 1
-                    g = np.hstack([g, np.ones((len(i), 1), np.float32)])
-                    for k in range(TEMPLATES):
-                        order = np.argsort(f[k], kind="stable")
-                        row = f[k][order]
-                        first = np.flatnonzero(np.diff(row, prepend=-1))
-                        out[k][row[first]] += np.add.reduceat(g[order], first, axis=0)
+                expect(out, *sent.value, [r[~away[x.doc]] for r in x.history()])
             return out
 
-        g = summed(slope, CLASSES + 1)
-        mean = g[:, :, :CLASSES] / (g[:, :, CLASSES:] + pull)
+        mean = (seen - summed(expected, CLASSES)) / (each + pull)
         weights = (weights + RATE * mean / np.sqrt(prior * (1 - prior) + 1e-4)).astype(np.float32)
     sent = spark.sparkContext.broadcast((bias, weights))
     scale = math.log10(tokens + distinct_words + 1)

@@ -3,8 +3,10 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
+from arborspark.llm import maxent
 from arborspark.llm.maxent import lm_scores
 
 
@@ -45,3 +47,32 @@ def test_empty_and_untrained(documents, spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     r = lm_scores(documents(["a b"], ids=[held])).first()
     assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) == (3, 0, 0, 0.0)
+
+
+def test_every_training_token_gives_a_gradient_in_every_round(case):
+    texts, got = case
+    raw = [(t or "").encode() for t in texts]
+    held = np.array([zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(raw))])
+    t = maxent.Tokens(raw)
+    on = ~held[t.doc]
+    key, first, count = np.unique(t.hash[on], return_index=True, return_counts=True)
+    word = key != t.hash[t.end[0]]
+    top = sorted(zip(-count[word], key[word].view(np.int64).tolist(), strict=True))[: maxent.TOP]
+    cls, rows = maxent.Classes([k % 2**64 for _, k in top])(t), t.history()
+    seen = np.zeros((maxent.TEMPLATES, maxent.ROWS, maxent.CLASSES))
+    for k, r in enumerate(rows):
+        np.add.at(seen[k], (r[on], cls[on]), 1)
+    prior = (seen[0].sum(0) + 1) / (seen[0].sum() + maxent.CLASSES)
+    each, bias, pull = seen.sum(2, keepdims=True), np.log(prior), maxent.prior_strength(seen, prior)
+    weights = maxent.START * (np.log((seen + pull * prior) / (each + pull)) - np.log(prior))
+    for _ in range(2):
+        p, sums = np.exp(maxent.log_softmax(bias, weights, [r[on] for r in rows])), np.zeros_like(seen)
+        for k, r in enumerate(rows):
+            np.add.at(sums[k], r[on], p)
+        weights = weights + maxent.RATE * (seen - sums) / (each + pull) / np.sqrt(prior * (1 - prior) + 1e-4)
+    logp = maxent.log_softmax(bias, weights, rows)[np.arange(len(cls)), cls] / math.log(10)
+    number, words = Counter(t.hash[on].tolist()), Counter(cls[on][first].tolist())
+    total = Counter(cls[on].tolist())
+    rare = [math.log10((number[h] + 1) / (total[c] + words[c] + 1)) if c > maxent.TOP else 0 for h, c in zip(t.hash.tolist(), cls.tolist(), strict=True)]
+    want = np.bincount(t.doc, weights=logp + rare)
+    assert [got[i]["score"] for i in range(len(raw))] == pytest.approx(want.tolist(), rel=1e-3)
