@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import ALPHANUMERIC, LOWER, bounded_batches, slices, text_bytes
 
@@ -190,51 +191,46 @@ def _shards(raw: list[bytes], block: Block) -> Iterator[tuple[int, list[bytes],
             yield s + i, d, merge(spans.get(i, [])), sorted(items.get(i, ()), key=str)
 
 
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _with(spans: list[dict], found: list[tuple[int, int]]) -> list[dict]:
+    """Spans of earlier blocks merged with those of one more."""
+    return [{"start": x, "end": y} for x, y in merge([*((s["start"], s["end"]) for s in spans), *found])]
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """id, n_words, spans (merged word ranges [start, end) that benchmark windows cover), items (of those windows, as strings).
 
     A null or empty text has no words; an item without words has no window; repeated rows give a row each; empty tables
-    work; other columns are ignored. With one block (benchmarks of up to block_bytes) nothing is shuffled; more blocks
-    are searched one after another and their findings gathered by id, which must then be distinct (an error says so).
+    work; other columns are ignored. Nothing is shuffled: the blocks of a benchmark of more than block_bytes are searched
+    one after another, and each row carries what was found so far.
     """
     bounded_batches(docs.sparkSession)
     source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     schema = f"id {kind}, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
 
-    def scan(block: Block) -> DataFrame:
+    def scan(df: DataFrame, block: Block, first: bool, last: bool) -> DataFrame:
         def run(batches):
             for b in batches:
                 n, spans, items = [], [], []
-                for _, w, found, of in _shards(text_bytes(b.column(1)), block):
+                before = [([], [])] * b.num_rows if first else list(zip(b.column("spans").to_pylist(), b.column("items").to_pylist(), strict=True))
+                for i, w, found, of in _shards(text_bytes(b.column("text")), block):
                     n.append(len(w))
-                    spans.append([{"start": x, "end": y} for x, y in found])
-                    items.append([str(x) for x in of])
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(items, pa.list_(pa.string()))],
-                    ["id", "n_words", "spans", "items"],
-                )
-
-        return source.mapInArrow(run, schema)
-
-    parts = [scan(b) for b in blocks(benchmark, item_col, item_text, block_bytes)] or [scan(Block([]))]
-    if len(parts) == 1:
-        return parts[0].withColumnRenamed("id", id_col)
-    keyed = parts[0]
-    for p in parts[1:]:
-        keyed = keyed.unionByName(p)
-    merged = keyed.groupBy("id").agg(
-        F.max("n_words").alias("n_words"),
-        F.when(F.count("*") == len(parts), F.flatten(F.collect_list("spans"))).otherwise(F.raise_error(F.lit("searching in several blocks needs distinct ids"))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
+                    spans.append(_with(before[i][0], found))
+                    items.append(sorted({*before[i][1], *map(str, of)}))
+                out = [b.column("id"), pa.array(n, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))]
+                names = ["id", "n_words", "spans", "items"]
+                yield pa.RecordBatch.from_arrays(out if last else [*out, b.column("text")], names if last else [*names, "text"])
 
-    def joined(batches):
-        for b in batches:
-            spans = [[{"start": x, "end": y} for x, y in merge([(s["start"], s["end"]) for s in row])] for row in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), b.column(3)], ["id", "n_words", "spans", "items"])
+        return df.mapInArrow(run, schema if last else f"{schema}, text string")
 
-    return merged.mapInArrow(joined, schema).withColumnRenamed("id", id_col)
+    source = source.withColumn("text", F.col("text").cast("string"))
+    parts = [*blocks(benchmark, item_col, item_text, block_bytes)] or [Block([])]
+    for k, block in enumerate(parts):
+        source = scan(source, block, k == 0, k + 1 == len(parts))
+    return source.withColumnRenamed("id", id_col)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -266,22 +262,35 @@ def cut_words(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs with every removal span cut out of the texts; rows without a hit are unchanged, and all columns stay.
 
-    Texts are cut in the scan that finds the spans, block after block of the benchmark, so nothing is shuffled. Windows
-    are judged on the text as it came; with several blocks, a later block sees what an earlier one left.
+    Nothing is shuffled. All blocks of the benchmark are judged on the text as it came: each row carries the spans found
+    so far, and the scan of the last block cuts them.
     """
     bounded_batches(docs.sparkSession)
-    at = docs.columns.index(text_col)
-
-    def stage(df: DataFrame, block: Block) -> DataFrame:
+    at, columns = docs.columns.index(text_col), docs.schema
+    carried = "_spans"
+    while carried in docs.columns:
+        carried += "_"
+    span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+    more = T.StructType([*columns.fields, T.StructField(carried, T.ArrayType(span))])
+
+    def stage(df: DataFrame, block: Block, first: bool, last: bool) -> DataFrame:
         def run(batches):
             for b in batches:
                 raw = text_bytes(b.column(at))
-                new = [cut_words(raw[i], spans) for i, _, spans, _ in _shards(raw, block)]
-                text = pa.array([None if old is None else x.decode() for x, old in zip(new, b.column(at).to_pylist(), strict=True)], pa.string())
-                yield pa.RecordBatch.from_arrays([text if k == at else c for k, c in enumerate(b.columns)], b.schema.names)
-
-        return df.mapInArrow(run, df.schema)
-
-    for block in blocks(benchmark, item_col, item_text):
-        docs = stage(docs, block)
+                kept = b.columns if first else b.columns[:-1]
+                before = [[]] * len(raw) if first else b.column(len(kept)).to_pylist()
+                spans = [_with(before[i], found) for i, _, found, _ in _shards(raw, block)]
+                if last:
+                    new = [cut_words(t, [(x["start"], x["end"]) for x in found]) for t, found in zip(raw, spans, strict=True)]
+                    text = pa.array([None if old is None else x.decode() for x, old in zip(new, b.column(at).to_pylist(), strict=True)], pa.string())
+                    kept = [text if k == at else c for k, c in enumerate(kept)]
+                else:
+                    kept = [*kept, pa.array(spans, _SPANS)]
+                yield pa.RecordBatch.from_arrays(kept, columns.names if last else more.names)
+
+        return df.mapInArrow(run, columns if last else more)
+
+    parts = [*blocks(benchmark, item_col, item_text)]
+    for k, block in enumerate(parts):
+        docs = stage(docs, block, k == 0, k + 1 == len(parts))
     return docs

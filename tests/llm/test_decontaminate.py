@@ -3,7 +3,7 @@ import re
 import numpy as np
 import pytest
 
-from arborspark.llm.decontaminate import FMIndex, contamination, cut_words, decontaminate, digest, merge, phrases, words
+from arborspark.llm.decontaminate import FMIndex, blocks, contamination, cut_words, decontaminate, digest, merge, phrases, words
 
 
 @pytest.mark.parametrize("seed", range(25))
@@ -78,3 +78,23 @@ def test_removal_leaves_clean_documents_alone(case, documents):
 def test_spans():
     assert merge([(5, 9), (0, 3), (2, 4)]) == [(0, 4), (5, 9)]
     assert cut_words(b"One, two; three four", [(1, 3)]) == b"One,  four" or re.split(rb"\W+", cut_words(b"One, two; three four", [(1, 3)])) == [b"One", b"four"]
+
+
+def test_blocks_are_judged_on_the_uncut_text(spark, documents, monkeypatch):
+    w = [f"word{k}x" for k in range(40)]
+    items = [(1, " ".join(w[0:11])), (2, " ".join(w[5:16])), (3, " ".join(w[20:24] + w[32:36]))]
+    texts = [" ".join(w[:20]), " ".join(w[20:24] + w[0:11] + w[32:36]), None, "clean", " ".join(w[:20])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert len([*blocks(bench, "item_id", "text", 60)]) == 3
+    monkeypatch.setattr("arborspark.llm.decontaminate.blocks", lambda *a: blocks(*a[:3], 60))
+    out = {r["doc_id"]: r["text"] for r in decontaminate(documents(texts), bench).collect()}
+    left = [(out[i] or "").split() for i in range(5)]
+    assert left == [w[16:20], w[20:24] + w[32:36], [], ["clean"], w[16:20]] and out[2] is None
+
+
+def test_several_blocks_give_each_repeated_id_its_row(spark, documents):
+    w = [f"word{k}x" for k in range(20)]
+    bench = spark.createDataFrame([(1, " ".join(w[0:11])), (2, " ".join(w[5:16]))], "item_id long, text string")
+    rows = contamination(documents([" ".join(w), "clean", " ".join(w)], ids=[7, 7, None]), bench, block_bytes=60).collect()
+    got = [(r["doc_id"], r["n_words"], [tuple(s) for s in r["spans"]], r["items"]) for r in rows]
+    assert sorted(got, key=str) == sorted([(7, 20, [(0, 16)], ["1", "2"]), (7, 1, [], []), (None, 20, [(0, 16)], ["1", "2"])], key=str)
