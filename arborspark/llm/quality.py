@@ -6,11 +6,14 @@ needs (counts, sums and numbers of followers of each context) is joined to the n
 order, as DataFrames hashed by n-gram. The resulting log probabilities go to where the texts lie if their number is small
 enough (it is checked); otherwise a chunk of documents asks once for each of its distinct n-grams and gets them back by a
 join. Each document's perplexity follows from them. A text is kept unless its perplexity exceeds the
-quantile of the trusted texts of its language, with some slack.
+quantile of the trusted texts of its language that are held out of the counts.
 """
 
 from __future__ import annotations
 
+import zlib
+from statistics import NormalDist
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, cut, packed, slices, text_bytes, unpacked
 
-ORDER, QUANTILE, SLACK, SHORT, CHUNK_BYTES = 5, 0.995, 1.15, 2.0, 16 << 20
+ORDER, QUANTILE, HELD, CHUNK_BYTES = 5, 0.995, 5, 16 << 20
 #: Distinct n-grams up to which their log probabilities (12 bytes each) are sent to the executors; beyond it they are joined to chunks.
 TABLE_LIMIT = 4_000_000
 
@@ -80,10 +83,11 @@ def log_probs(asked: DataFrame, levels: list) -> DataFrame:
     return p.select("key", F.log("p").cast("float").alias("logp"))
 
 
-def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", chunk_bytes: int = CHUNK_BYTES, table_limit: int = TABLE_LIMIT) -> DataFrame:
+def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", chunk_bytes: int = CHUNK_BYTES, table_limit: int = TABLE_LIMIT, held: int = 0) -> DataFrame:
     """id, lang, n_bytes, trusted, perplexity (for each byte; null for a text without bytes) for each row.
 
-    trusted holds the ids whose texts the model learns from. Null texts are empty; rows with a null id are scored but
+    trusted holds the ids whose texts the model learns from. With held, texts whose crc32 is a multiple of it are not
+    learned from (so all copies of a text are on one side), and a column held_out names them. Null texts are empty; rows with a null id are scored but
     not learned from; repeated rows are scored each; other columns are ignored; empty tables give empty results; without
     trusted text every byte is equally likely.
     """
@@ -104,7 +108,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     def learn(left: pa.Table, right: pa.Table) -> pa.Table:
         d = unpacked(left)
         want = set(right.column("id").to_pylist())
-        raw = [t for i, t in zip(d.column("id").to_pylist(), text_bytes(d.column("text")), strict=True) if i in want]
+        raw = [t for i, t in zip(d.column("id").to_pylist(), text_bytes(d.column("text")), strict=True) if i in want and not _held(t, held)]
         key, c = _counted(raw)
         return pa.table({"key": pa.array(key), "c": pa.array(c)})
 
@@ -117,11 +121,15 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
 
     probs = cut(log_probs(cut(source.select("text").mapInArrow(distinct, "key long").distinct()), levels))
     if probs.count() <= table_limit:
-        scored = _by_table(source, probs, kind)
+        scored = _by_table(source, probs, kind, held)
     else:
-        scored = _by_chunk(chunks, probs, kind)
+        scored = _by_chunk(chunks, probs, kind, held)
     scored = cut(scored).join(known.withColumn("trusted", F.lit(True)), "id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
-    return scored.select("id", "lang", "n_bytes", "trusted", "perplexity").withColumnRenamed("id", id_col)
+    return scored.select("id", "lang", "n_bytes", "trusted", "perplexity", *(["held_out"] if held else [])).withColumnRenamed("id", id_col)
+
+
+def _held(text: bytes, held: int) -> bool:
+    return held > 0 and zlib.crc32(text) % held == 0
 
 
 def _rated(raw: list[bytes], key: np.ndarray, logp: np.ndarray) -> tuple[pa.Array, pa.Array]:
@@ -138,7 +146,7 @@ def _rated(raw: list[bytes], key: np.ndarray, logp: np.ndarray) -> tuple[pa.Arra
     return pa.array(size), pa.array(np.exp(-total / np.maximum(size, 1)), mask=size == 0)
 
 
-def _by_table(source: DataFrame, probs: DataFrame, kind: str) -> DataFrame:
+def _by_table(source: DataFrame, probs: DataFrame, kind: str, held: int) -> DataFrame:
     """Scores where the texts lie: the table of log probabilities is sent to the executors, its size having been checked."""
     table = probs.select("key", "logp").toArrow()
     key, logp = table.column("key").to_numpy(), table.column("logp").to_numpy()
@@ -147,12 +155,14 @@ def _by_table(source: DataFrame, probs: DataFrame, kind: str) -> DataFrame:
 
     def score(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *_rated(text_bytes(b.column(1)), *sent.value)], ["id", "lang", "n_bytes", "perplexity"])
+            raw = text_bytes(b.column(1))
+            away = pa.array([_held(t, held) for t in raw], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *_rated(raw, *sent.value), away], ["id", "lang", "n_bytes", "perplexity", "held_out"])
 
-    return source.mapInArrow(score, f"id {kind}, lang string, n_bytes long, perplexity double")
+    return source.mapInArrow(score, f"id {kind}, lang string, n_bytes long, perplexity double, held_out boolean")
 
 
-def _by_chunk(chunks: DataFrame, probs: DataFrame, kind: str) -> DataFrame:
+def _by_chunk(chunks: DataFrame, probs: DataFrame, kind: str, held: int) -> DataFrame:
     """Scores by a join: every chunk asks once for each of its distinct n-grams."""
 
     def ask(t: pa.Table) -> pa.Table:
@@ -163,11 +173,12 @@ def _by_chunk(chunks: DataFrame, probs: DataFrame, kind: str) -> DataFrame:
         d = unpacked(left)
         key, logp = right.column("key").to_numpy(), right.column("logp").to_numpy()
         order = np.argsort(key)
-        size, ppl = _rated(text_bytes(d.column("text")), key[order], logp[order])
-        return pa.table({"id": d.column("id"), "lang": d.column("lang"), "n_bytes": size, "perplexity": ppl})
+        raw = text_bytes(d.column("text"))
+        size, ppl = _rated(raw, key[order], logp[order])
+        return pa.table({"id": d.column("id"), "lang": d.column("lang"), "n_bytes": size, "perplexity": ppl, "held_out": pa.array([_held(t, held) for t in raw], pa.bool_())})
 
     found = chunks.groupBy("chunk").applyInArrow(ask, "chunk long, key long").join(probs, "key").select("chunk", "key", "logp")
-    return chunks.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(score, f"id {kind}, lang string, n_bytes long, perplexity double")
+    return chunks.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(score, f"id {kind}, lang string, n_bytes long, perplexity double, held_out boolean")
 
 
 def _counted(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -185,18 +196,33 @@ def _counted(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return keys, counts
 
 
-def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", quantile: float = QUANTILE, slack: float = SLACK, short: float = SHORT, **columns) -> DataFrame:
+def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", quantile: float = QUANTILE, held: int = HELD, **columns) -> DataFrame:
     """perplexities() with threshold and keep.
 
-    The threshold of a language is slack times the quantile of its trusted texts; a language without any takes that of all
-    trusted texts. As the perplexity of a short text varies more, its threshold is exp(short / sqrt(bytes)) higher. A text without bytes is not kept; without trusted texts every other text is.
+    The threshold of a language is the quantile of its trusted texts that are held out of the counts (one in held, by
+    text). Where they are too few for any to lie beyond the quantile, it is the quantile of a log-normal fitted to them,
+    with the prediction error of their number; a language with fewer than two takes the threshold of all held-out ones.
+    A text without bytes is not kept; without two held-out trusted texts every other text is.
     """
-    scored = cut(perplexities(docs, trusted, id_col, **columns))
-    lang = F.coalesce("lang", F.lit("")).alias("lang")
-    known = scored.where("trusted and perplexity is not null")
-    by_lang = known.groupBy(lang).agg(F.percentile_approx("perplexity", quantile, 10_000).alias("q"))
-    overall = known.agg(F.percentile_approx("perplexity", quantile, 10_000)).first()[0]
+    scored = cut(perplexities(docs, trusted, id_col, held=held, **columns))
+    lang = F.coalesce("lang", F.lit("")).alias("_lang")
+    known = scored.where("trusted and held_out and perplexity is not null")
+    found = [F.percentile_approx("perplexity", quantile, 10_000).alias("q"), F.count("*").alias("n"), F.avg(F.log("perplexity")).alias("m"), F.stddev_samp(F.log("perplexity")).alias("d")]
+    limit = F.udf(lambda *x: bound(quantile, *x), "double")("q", "n", "m", "d").alias("q")
+    by_lang = known.groupBy(lang).agg(*found).select("_lang", limit)
+    overall = bound(quantile, *known.agg(*found).first())
     other = F.lit(float("inf") if overall is None else overall)
-    out = scored.join(by_lang.withColumnRenamed("lang", "_lang"), F.coalesce("lang", F.lit("")) == F.col("_lang"), "left")
-    out = out.withColumn("threshold", slack * F.coalesce("q", other) * F.exp(short / F.sqrt(F.greatest("n_bytes", F.lit(1))))).drop("_lang", "q")
+    out = scored.join(by_lang, F.coalesce("lang", F.lit("")) == F.col("_lang"), "left")
+    out = out.withColumn("threshold", F.coalesce("q", other)).drop("_lang", "q", "held_out")
     return out.withColumn("keep", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)))
+
+
+def bound(quantile: float, q: float | None, n: int, m: float | None, d: float | None) -> float | None:
+    """The quantile of n values: q, the empirical one, where at least one lies beyond it, else by mean and deviation of their logarithms."""
+    if n < 2:
+        return None
+    if n * (1 - quantile) >= 1:
+        return q
+    z, v = NormalDist().inv_cdf(quantile), n - 1  # Student's t by its expansion around the normal
+    t = z + (z**3 + z) / (4 * v) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * v**2) + (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / (384 * v**3)
+    return float(np.exp(m + t * d * (1 + 1 / n) ** 0.5))

@@ -1,9 +1,10 @@
 import math
+import zlib
 from collections import Counter
 
 import pytest
 
-from arborspark.llm.quality import ORDER, classify, discounts, grams, perplexities
+from arborspark.llm.quality import ORDER, bound, classify, discounts, grams, perplexities
 
 
 def brute(trusted, text):
@@ -79,3 +80,22 @@ def test_grams_stay_within_texts():
 
 def test_discounts_without_counts(spark):
     assert discounts(spark.createDataFrame([], "key long, c long")) == (0.5, 0.5, 0.5)
+
+
+def test_the_threshold_is_the_quantile_of_held_out_trusted_texts(spark, documents, prose):
+    texts = [prose(s, 20) for s in range(60)] + [" ".join(["word"] * 60), None]
+    trusted = spark.createDataFrame([(i,) for i in range(60)], "doc_id long")
+    got = {r["doc_id"]: r for r in classify(documents(texts), trusted, quantile=0.5).collect()}
+    away = [i for i in range(60) if zlib.crc32(texts[i].encode()) % 5 == 0]
+    learned = spark.createDataFrame([(i,) for i in range(60) if i not in away], "doc_id long")
+    want = {r["doc_id"]: r["perplexity"] for r in perplexities(documents(texts), learned).collect()}
+    assert all(got[i]["trusted"] for i in range(60)) and len(away) > 3
+    assert all(got[i]["perplexity"] == pytest.approx(want[i], rel=1e-6) for i in range(61))
+    half = sorted(want[i] for i in away)[(len(away) + 1) // 2 - 1]
+    assert {round(got[i]["threshold"], 4) for i in range(61)} == {round(half, 4)}
+
+
+def test_few_values_give_a_wider_bound_that_narrows():
+    assert bound(0.995, 3.0, 400, 1.0, 0.1) == 3.0 and bound(0.995, None, 1, 1.0, None) is None
+    few, more, most = (math.log(bound(0.995, 0.0, n, 1.0, 0.1)) for n in (5, 20, 199))
+    assert few > more > most and most == pytest.approx(1 + 0.1 * 2.60 * (1 + 1 / 199) ** 0.5, abs=1e-3)
