@@ -2,27 +2,35 @@
 
 from __future__ import annotations
 
-import hashlib
-import math
 import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a worker handles at a time; bounds the arrays built from them.
 SLICE_BYTES = 1 << 19
 
 
+#: Rows of a table that may be keyed by hot keys: every key holds more than one row in HOT, so there are fewer than HOT of them.
+HOT = 500
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it; one of our own only where none is named."""
+    """The folder that driver and executors share, as the cluster names it.
+
+    Where none is named, a local session gets a temporary one; on a cluster that would not be shared, so it is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     own = spark.sparkContext.getCheckpointDir()
     if own is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="arborspark-"))
         own = spark.sparkContext.getCheckpointDir()
     return own
@@ -59,6 +67,31 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table read in less than half as many tasks as there are cores (one small file, say) dealt out over them.
+
+    Only plain reads of files are looked at: other plans have the partitions of their own shuffles.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    if df.isStreaming or "FileScan" not in plan or any(x in plan for x in ("Exchange", "Join", "Aggregate", "Sort", "Window")):
+        return df
+    return df.repartition(cores) if 2 * df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
+def join_hot(many: DataFrame, one: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """many joined to one (whose keys are distinct), inner or left, so that no key, however frequent, comes into one task.
+
+    Keys of more than one row in HOT are fewer than HOT, whatever the size of the tables: their rows of one are sent to
+    where many lies; the rest is joined by a shuffle. many is read three times: give it written.
+    """
+    n = many.count()
+    hot = cut(many.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") * HOT > n).select(key))
+    few = cut(one.join(F.broadcast(hot), key, "left_semi"))
+    frequent = many.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(few), key, how)
+    return frequent.unionByName(many.join(F.broadcast(hot), key, "left_anti").join(one, key, how))
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Smaller Arrow batches than Spark's defaults, by rows and by bytes, where the session has not chosen others.
 
@@ -87,16 +120,6 @@ def slices(sizes: list[int], limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         yield start, len(sizes)
 
 
-def n_chunks(docs: DataFrame, text: str, chunk_bytes: int) -> int:
-    """How many chunks of about chunk_bytes hold the texts; at least one for each shuffle partition."""
-    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return max(math.ceil(total / chunk_bytes), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
-def chunk_of(n: int, *keys: str) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")
-
-
 # --- words ------------------------------------------------------------------------------------------------------------
 
 
@@ -206,23 +229,23 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def packed(docs: DataFrame, chunk_bytes: int) -> DataFrame:
-    """(chunk, blob): the rows of docs in their order, about chunk_bytes to a row, compressed; nothing is shuffled.
+    """(chunk, blob): the rows of docs in their order, about chunk_bytes to a row, compressed, in a written table; nothing is shuffled.
 
-    A chunk is named by a hash of its content. Equal chunks (of repeated rows) share a name and are one group; unpacked()
-    reads all of a group.
+    A chunk is numbered by the task that made it and its place there, so chunks of equal rows are chunks of their own.
     """
 
     def run(batches):
-        held, size = [], 0
+        held, size, made = [], 0, TaskContext.get().partitionId() << 32
 
         def blob():
+            nonlocal made
+            made += 1
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
                 for x in held:
                     w.write_batch(x)
             raw = sink.getvalue().to_pybytes()
-            name = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
-            return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([raw], pa.binary())], ["chunk", "blob"])
+            return pa.RecordBatch.from_arrays([pa.array([made], pa.int64()), pa.array([raw], pa.binary())], ["chunk", "blob"])
 
         for b in batches:
             at = 0
@@ -238,7 +261,7 @@ def packed(docs: DataFrame, chunk_bytes: int) -> DataFrame:
         if size:
             yield blob()
 
-    return docs.mapInArrow(run, "chunk long, blob binary")
+    return cut(spread(docs).mapInArrow(run, "chunk long, blob binary"))
 
 
 def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -249,5 +272,5 @@ def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def unpacked(t: pa.Table) -> pa.Table:
-    """The rows of a chunk; a row that is there twice (equal chunks) is taken as often as it is there."""
+    """The rows of a chunk."""
     return pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in t.column("blob").to_pylist()])

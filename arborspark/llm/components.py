@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release
+from .common import HOT, cut, join_hot, release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,31 +13,46 @@ def components(edges: DataFrame) -> DataFrame:
 
     In each round every node moves to the least of its neighbours and itself, and edges are drawn between what is left.
     Rounds alternate between the least number, which settles stars at once, and the least hash, which shrinks any graph,
-    long paths too, by a constant share. Minima are aggregated before they are shuffled, and joins read written tables on
-    both sides, so that adaptive execution can split a hot node.
+    long paths too, by a constant share. Minima are aggregated before they are shuffled. Nodes and labels that hold more
+    than a fixed share of the rows (so there are few, whatever the size) are joined where the rows lie.
     """
     e = cut(edges.select("a", "b").where("a <> b").distinct())
     labels, turn = None, 0
-    while not e.isEmpty():
+    while n := e.count():
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         if turn % 2:
             best = F.least(F.min(F.struct(F.xxhash64("b").alias("h"), F.col("b").alias("n"))), F.struct(F.xxhash64("a").alias("h"), F.col("a").alias("n")))["n"]
         else:
             best = F.least(F.min("b"), F.col("a"))
         turn += 1
-        moved = cut(both.groupBy("a").agg(best.alias("to")).withColumnRenamed("a", "from"))
+        moved = cut(both.groupBy("a").agg(best.alias("to"), (F.count("*") * HOT > 2 * n).alias("hot")).withColumnRenamed("a", "node"))
         old_edges, old_labels = e, labels
         if labels is None:
-            labels = cut(moved.select(F.col("from").alias("node"), F.col("to").alias("label")))
+            labels = cut(moved.select("node", F.col("to").alias("label")))
         else:
-            labels = cut(labels.join(moved, labels["label"] == moved["from"], "left").select("node", F.coalesce("to", "label").alias("label")))
-        left = moved.select(F.col("from").alias("a"), F.col("to").alias("a2"))
-        right = moved.select(F.col("from").alias("b"), F.col("to").alias("b2"))
-        e = cut(e.join(left, "a").join(right, "b").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).where("a <> b").distinct())
+            left = labels.select(F.col("node").alias("origin"), F.col("label").alias("node"))
+            labels = cut(join_hot(left, moved.select("node", "to"), "node", "left").select(F.col("origin").alias("node"), F.coalesce("to", "node").alias("label")))
+        e = cut(_renamed(_renamed(e, moved, "a"), moved, "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
         release(old_edges, old_labels, moved)
     if labels is None:
         return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    least = cut(labels.groupBy("label").agg(F.min("node").alias("component")))
-    out = cut(labels.join(least, "label").select("node", "component"))
-    release(e, labels, least)
+    out = named(labels, labels.groupBy("label").agg(F.min("node").alias("name")))
+    release(e, labels)
+    return out.withColumnRenamed("name", "component")
+
+
+def _renamed(e: DataFrame, moved: DataFrame, side: str) -> DataFrame:
+    """e with each node of a side replaced by where it moved; nodes of very many edges are joined where the edges lie."""
+    to = moved.select(F.col("node").alias(side), F.col("to").alias("_to"), "hot")
+    hot = F.broadcast(to.where("hot").select(side, "_to"))
+    first = e.join(hot, side, "left")
+    rest = first.where("_to is null").drop("_to").join(to.where("not hot").select(side, "_to"), side)
+    return first.where("_to is not null").unionByName(rest).withColumn(side, F.col("_to")).drop("_to")
+
+
+def named(labels: DataFrame, names: DataFrame) -> DataFrame:
+    """(node, name) from written (node, label) and (label, name), whose labels are distinct."""
+    names = cut(names)
+    out = cut(join_hot(labels, names, "label").select("node", "name"))
+    release(names)
     return out
