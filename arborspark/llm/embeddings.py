@@ -4,7 +4,7 @@ Equal vectors are folded first. Each of ``TABLES`` tables hashes a vector by ``W
 rounds of sign flips and a Hadamard transform) to the nearest signed axes; besides that bucket a vector also enters those
 in which one of the axes is its second nearest (multiprobe), and two vectors meet if any of their buckets agree. What
 meets is verified by the cosine in double precision, in blocks; verified links make groups, and within each group all
-pairs are verified again, so that every link is counted once. At the default settings and 64 dimensions a pair at the
+pairs are verified again, so that every link is counted once. Folded vectors are numbered, so ids need not be distinct. At the default settings and 64 dimensions a pair at the
 threshold meets in a table with probability 0.87, so it is missed with probability 1e-7.
 """
 
@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import deal, forest, grouped
-from .common import bounded_batches, cut, mix
-from .components import components
+from .common import bounded_batches, cut, join_hot, mix, release, spread
+from .components import components, named
 from .jaccard import _one_side
 
 THRESHOLD, TABLES, WIDTH, BLOCK = 0.98, 8, 3, 256
@@ -72,16 +72,20 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     Rows are compared if their labels are equal and not null and their vectors have the same dimensions. Vectors that
     are null, empty, zero, or hold a null or a component that is not finite link with nothing, and so do rows with a null id
-    (component null, not kept). n_links counts the other rows with cosine >= threshold; repeated rows count. Other columns are ignored;
-    an empty table gives an empty one.
+    (component null, not kept). n_links counts the other rows with cosine >= threshold; repeated rows count, and rows of one id
+    with different vectors are rows of their own. A cosine of exactly the threshold links. Other columns are ignored; an empty table
+    gives an empty one.
     """
     spark = vectors.sparkSession
     bounded_batches(spark)
     v = F.col("v")
-    source = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].cast("array<double>").alias("v"), vectors[label_col].alias("label"))
+    source = spread(vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].cast("array<double>").alias("v"), vectors[label_col].alias("label")))
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     source = source.withColumn("ok", F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & finite, F.lit(False)))
-    folded = cut(source.where("ok").groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
+    value = F.transform(v, lambda x: x + F.lit(0.0))  # one zero, whatever its sign
+    good = source.where("ok").select("id", value.alias("v"), "label").select("id", "v", "label", F.xxhash64("label", "v").alias("h1"), F.xxhash64(F.lit(5), "v", "label").alias("h2"))
+    folded = good.groupBy("h1", "h2").agg(F.any_value("label").alias("label"), F.any_value("v").alias("v"), F.min("id").alias("least"), F.count("*").alias("n"))
+    folded = cut(folded.withColumn("rep", F.monotonically_increasing_id()))
 
     def hashed(batches):
         for b in batches:
@@ -95,7 +99,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                 h = mix(h ^ salt[on][:, None] ^ np.uint64(d))
                 yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), pa.array(np.repeat(ids[on], h.shape[1]))], ["bucket", "id"])
 
-    rows = cut(folded.select("rep", "v", F.xxhash64("label"), F.size("v").cast("long")).mapInArrow(hashed, "bucket long, id long"))
+    rows = cut(folded.select("rep", "v", F.xxhash64("label").alias("salt"), F.size("v").cast("long").alias("width")).mapInArrow(hashed, "bucket long, id long"))
     counts = cut(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
     full = rows.join(counts, "bucket")
     reps = folded.select(F.col("rep").alias("id"), "v", "label")
@@ -121,13 +125,18 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     met = grouped(dealt, ["bucket", "_i", "_j"], "id", lambda t: verify(t, None), "a long, b long, weight long")
     group = cut(components(met))
     sizes = cut(group.groupBy("component").agg(F.count("*").alias("m")))
-    members = group.join(sizes, "component").join(folded.select(F.col("rep").alias("id"), "v", "label", F.col("n").alias("w")), F.col("node") == F.col("id"))
+    weights = folded.select(F.col("rep").alias("id"), "v", "label", F.col("n").alias("w"))
+    members = join_hot(group, sizes, "component").withColumnRenamed("node", "id").join(weights, "id")
     dealt = deal(members, "component", "m", "id", BLOCK).select("component", "_i", "_j", "_b", "id", "v", "label", "w")
     links = cut(grouped(dealt, ["component", "_i", "_j"], "id", lambda t: verify(t, np.asarray(t.column("w"))), "a long, b long, weight long"))
-    classes = components(links.select("a", "b"))
+    linked = components(links.select("a", "b"))
+    classes = linked.withColumnRenamed("component", "label")
+    least = classes.join(folded.select(F.col("rep").alias("node"), "least"), "node").groupBy("label").agg(F.min("least").alias("name"))
     direct = links.groupBy("a").agg(F.sum("weight").alias("direct"))
-    final = folded.join(classes, F.col("rep") == F.col("node"), "left").join(direct, F.col("rep") == F.col("a"), "left")
-    final = cut(final.select("label", "v", (F.col("n") - 1 + F.coalesce("direct", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
-    out = source.where("ok").join(final, ["label", "v"]).select("id", "n_links", "component_id")
+    final = folded.select("h1", "h2", "rep", "least", "n").join(named(classes, least).withColumnRenamed("node", "rep"), "rep", "left").join(direct.withColumnRenamed("a", "rep"), "rep", "left")
+    final = cut(final.select("h1", "h2", (F.col("n") - 1 + F.coalesce("direct", F.lit(0))).alias("n_links"), F.coalesce("name", "least").alias("component_id")))
+    release(rows, counts, group, sizes, links, linked)
+    both = F.struct("h1", "h2").alias("h")
+    out = join_hot(cut(good.select("id", both)), final.select(both, "n_links", "component_id"), "h").select("id", "n_links", "component_id")
     out = out.unionByName(source.where("not ok").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False))).withColumnRenamed("id", id_col)

@@ -48,6 +48,27 @@ def test_links_equal_brute_force(spark, monkeypatch):
     assert [got[r[0]] for r in rows] == brute(rows)
 
 
+def test_repeated_ids_with_different_vectors(spark):
+    rows = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.01], 1), (3, [0.0, 1.0], 1), (3, [0.0, 1.0], 2), (4, [0.0, 2.0], 2), (5, [-0.0, 1.0], 1)]
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    want = [(r[0], *x) for r, x in zip(rows, brute(rows), strict=True)]
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == sorted(want)
+
+
+def test_recall_through_the_operator(spark):
+    """Pairs with a cosine just above the threshold, each a group of its own: all are linked."""
+    rng = np.random.default_rng(6)
+    u = rng.normal(size=(600, 64))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    w = rng.normal(size=u.shape)
+    w -= (w * u).sum(1, keepdims=True) * u
+    w /= np.linalg.norm(w, axis=1, keepdims=True)
+    v = 0.9801 * u + np.sqrt(1 - 0.9801**2) * w
+    rows = [(2 * i + k, x.tolist(), 0) for i in range(600) for k, x in enumerate((u[i], v[i]))]
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    assert got.where("n_links = 1 and component_id = vec_id - vec_id % 2").count() >= 1199
+
+
 def test_recall_at_the_threshold():
     rng = np.random.default_rng(2)
     u = rng.normal(size=(3000, 64))
