@@ -6,7 +6,9 @@ filled from others), which are the tokens on which a run splits the collection:
 and sends each set to the child named by its value there, recursively while a bucket is larger than ``LEAF``, to a depth of
 ``DEPTH``. Buckets are then compared by brute force, in blocks. Runs are repeated until a pair at the threshold is met with
 the target recall. What is met is filtered by the sketches (five standard deviations below the threshold), joined into
-groups, and each group's sets are compared exactly; links of a group are counted where they are found, never listed.
+groups, and each group's sets are compared exactly; links of a group are counted where they are found, never listed. What
+is dealt for that is not the sets but the shingles in which each differs from one set of its group, which gives the same
+intersections and is short for near-copies.
 """
 
 from __future__ import annotations
@@ -19,12 +21,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import deal, deal_apart, forest, grouped
-from .common import ALPHANUMERIC, LOWER, Words, bounded_batches, cut, mix, release, slices, text_bytes, window_hash
-from .components import components
+from .common import ALPHANUMERIC, LOWER, Words, bounded_batches, cut, join_hot, mix, release, slices, spread, text_bytes, window_hash
+from .components import components, named
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9999
 BINS, LEAF, DEPTH, LAMBDA, SIGMAS = 64, 256, 3, 0.7, 5.0
-MEET_BLOCK, BLOCK, FIRST_RUNS = 256, 128, 2
+MEET_BLOCK, BLOCK, FIRST_RUNS = 256, 1024, 2
 _BIN_BITS = BINS.bit_length() - 1
 
 
@@ -99,10 +101,16 @@ def _sketch_links(a: np.ndarray, b: np.ndarray, threshold: float, sigmas: float)
     return out
 
 
-def _exact_links(doc: np.ndarray, h: np.ndarray, n: int, threshold: float) -> np.ndarray:
-    """The matrix of pairs of sets whose Jaccard similarity reaches the threshold."""
-    size = np.bincount(doc, minlength=n)
-    _, col, many = np.unique(h, return_inverse=True, return_counts=True)
+def _exact_links(size: np.ndarray, less: np.ndarray, base: int, differ: list[np.ndarray], threshold: float) -> np.ndarray:
+    """The matrix of pairs of sets whose Jaccard similarity reaches the threshold.
+
+    Each set A is given by its size, by the shingles in which it differs from a common set C of base shingles, and by how
+    many of those are missing from A. As C holds no shingle that is added and every one that is missing,
+    |A and B| = |C| - missing(A) - missing(B) + |differ(A) and differ(B)|.
+    """
+    n = len(size)
+    doc = np.repeat(np.arange(n), [len(d) for d in differ])
+    _, col, many = np.unique(np.concatenate(differ), return_inverse=True, return_counts=True) if n else (None, np.zeros(0, np.int64), np.zeros(0, np.int64))
     shared = many[col] > 1
     doc, col = doc[shared], col[shared]
     _, col = np.unique(col, return_inverse=True)
@@ -110,17 +118,28 @@ def _exact_links(doc: np.ndarray, h: np.ndarray, n: int, threshold: float) -> np
     doc, col = doc[order], col[order]
     both = np.zeros((n, n), np.float32)
     last = int(col[-1]) + 1 if len(col) else 0
-    for at in range(0, last, 4096):
-        s, e = np.searchsorted(col, [at, at + 4096])
-        x = np.zeros((n, min(4096, last - at)), np.float32)
+    for at in range(0, last, 2048):
+        s, e = np.searchsorted(col, [at, at + 2048])
+        x = np.zeros((n, min(2048, last - at)), np.float32)
         x[doc[s:e], col[s:e] - at] = 1
         both += x @ x.T
+    both += (base - less)[:, None] - less[None, :]
     union = size[:, None] + size[None, :] - both
     out = both >= threshold * union - 1e-6 * np.maximum(union, 1)
     np.fill_diagonal(out, False)
     return out
 
 
+def _signature(doc: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size of each set and a hash of it, as two numbers."""
+    size = np.bincount(doc, minlength=n)
+    at, out = np.cumsum(size) - size, []
+    for salt in (0, 0x5851F42D4C957F2D):
+        m = np.append(mix(h ^ np.uint64(salt)), np.uint64(0))
+        out.append(np.where(size > 0, np.add.reduceat(m, np.minimum(at, len(h))), np.uint64(0)).view(np.int64))
+    return size.astype(np.int64), out[0], out[1]
+
+
 def _emit(ids: np.ndarray, linked: np.ndarray, weight: np.ndarray) -> pa.RecordBatch:
     """For each member with a link: the member it is joined to and the weight of its links."""
     root = forest(linked)
@@ -133,13 +152,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """id, class_id, n_links, kept for each row.
 
     class_id is the smallest id reachable by links of similarity >= threshold (equal sets are links), n_links counts the
-    other rows linked directly, kept is id = class_id. Ids are whole numbers, and rows of one id hold one text. A text without words and a row without an
-    id link with nothing (a null id has class null and is kept). Repeated rows count as documents; other columns are
-    ignored; an empty table gives an empty one.
+    other rows linked directly, kept is id = class_id. Ids are of any type that has an order, and need not be distinct: rows
+    of one id are documents of their own. A similarity of exactly the threshold links. A text without words and a row
+    without an id link with nothing (a null id has class null and is kept). Texts are used whole, however long; other
+    columns are ignored; an empty table gives an empty one.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    source = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
+    source = spread(docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")))
+    kind = source.schema["id"].dataType.simpleString()
     known = source.where("id is not null")
 
     def embed(batches):
@@ -148,17 +169,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for s, e in slices([len(t) for t in raw]):
                 n = e - s
                 doc, h = shingles(raw[s:e], width)
-                size = np.bincount(doc, minlength=n)
-                at = np.cumsum(size) - size
-                sig = []
-                for salt in (0, 0x5851F42D4C957F2D):
-                    m = np.append(mix(h ^ np.uint64(salt)), np.uint64(0))
-                    sig.append(np.where(size > 0, np.add.reduceat(m, np.minimum(at, len(h))), np.uint64(0)).view(np.int64))
+                size, s1, s2 = _signature(doc, h, n)
                 sk = _sketches(doc, h, n)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(s, n), pa.array(size.astype(np.int64)), pa.array(sig[0]), pa.array(sig[1]), pa.array([x.tobytes() for x in sk], pa.binary())], ["id", "size", "s1", "s2", "sketch"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(s, n), pa.array(size), pa.array(s1), pa.array(s2), pa.array([x.tobytes() for x in sk], pa.binary())], ["id", "size", "s1", "s2", "sketch"])
 
-    sets = cut(known.mapInArrow(embed, "id long, size long, s1 long, s2 long, sketch binary"))
-    folded = cut(sets.where("size > 0").groupBy("s1", "s2", "size").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.any_value("sketch").alias("sketch")))
+    sets = cut(known.mapInArrow(embed, f"id {kind}, size long, s1 long, s2 long, sketch binary"))
+    folded = sets.where("size > 0").groupBy("s1", "s2", "size").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.any_value("sketch").alias("sketch"))
+    folded = cut(folded.withColumn("rep", F.monotonically_increasing_id()))
     runs = runs_for(recall, threshold)
 
     reps = folded.select(F.col("rep").alias("id"), "sketch")
@@ -234,30 +251,72 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     group = components(later.unionByName(group.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     release(later)
 
-    sizes = cut(group.groupBy("component").agg(F.count("*").alias("n")))
-    members = group.join(sizes, "component").join(folded.select(F.col("rep").alias("node"), F.col("n").alias("w")), "node")
-    members = cut(members.select(F.col("node").alias("id"), "component", "n", "w"))
+    # the sets of all groups, each once: rows are found by the least id of their set and taken if they hold that very set
+    sizes = cut(group.groupBy("component").agg(F.count("*").alias("m")))
+    grouped_sets = cut(join_hot(group, sizes, "component").join(folded.select(F.col("rep").alias("node"), "least", "s1", "s2", "n"), "node"))
+    wanted = grouped_sets.select(F.col("least").alias("id"), "node", "component", "m", F.col("n").alias("w"), F.struct("s1", "s2").alias("sig"))
+
+    def reread(batches):
+        for b in batches:
+            raw, want = text_bytes(b.column("text")), b.column("sig").flatten()
+            w1, w2 = np.asarray(want[0]), np.asarray(want[1])
+            for s, e in slices([len(t) for t in raw]):
+                doc, h = shingles(raw[s:e], width)
+                size, s1, s2 = _signature(doc, h, e - s)
+                edge = np.cumsum(size)
+                on = np.flatnonzero((s1 == w1[s:e]) & (s2 == w2[s:e]))
+                if len(on):
+                    take = pa.array(on + s)
+                    kept = [b.column(c).take(take) for c in ("node", "component", "m", "w")]
+                    yield pa.RecordBatch.from_arrays([*kept, pa.array([h[edge[i] - size[i] : edge[i]].tobytes() for i in on], pa.binary())], ["id", "component", "m", "w", "hashes"])
+
+    found = known.join(wanted, "id").select("text", "node", "component", "m", "w", "sig").mapInArrow(reread, "id long, component long, m long, w long, hashes binary")
+    found = cut(found.dropDuplicates(["id"]) if _repeated(sets) else found)
+    place = F.pmod(F.xxhash64("id", F.lit(7)), F.ceil(F.col("m") / BLOCK).cast("int")).alias("part")
+    bases = found.where("id = component").select("component", F.explode(F.sequence(F.lit(0), F.ceil(F.col("m") / BLOCK).cast("int") - 1)).alias("part"), F.col("hashes").alias("base"))
+
+    def subtract(batches):
+        for b in batches:
+            less, base, differ, sizes = [], [], [], []
+            for mine, common in zip(b.column("hashes").to_pylist(), b.column("base").to_pylist(), strict=True):
+                x, c = np.frombuffer(mine, np.uint64), np.frombuffer(common, np.uint64)
+                other = np.setxor1d(x, c, assume_unique=True)
+                missing = (len(c) + len(other) - len(x)) // 2
+                sizes.append(len(x))
+                less.append(missing)
+                base.append(len(c))
+                differ.append(other.tobytes())
+            kept = [b.column(c) for c in ("id", "component", "m", "w")]
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(v, pa.int64()) for v in (sizes, less, base)), pa.array(differ, pa.binary())], ["id", "component", "m", "w", "size", "less", "base", "differ"])
+
+    against = found.select("id", "component", "m", "w", "hashes", place).join(bases, ["component", "part"]).drop("part")
+    members = cut(against.mapInArrow(subtract, "id long, component long, m long, w long, size long, less long, base long, differ binary"))
 
     def compare(t: pa.Table) -> pa.RecordBatch | None:
         ids, b = np.asarray(t.column("id")), np.asarray(t.column("_b"))
         if len(ids) < 2 or _one_side(t, b):
             return None
-        doc, h = shingles(text_bytes(t.column("text")), width)
-        linked = _exact_links(doc, h, len(ids), threshold)
-        if len(set(b.tolist())) == 2:
+        differ = [np.frombuffer(x, np.uint64) for x in t.column("differ").to_pylist()]
+        linked = _exact_links(np.asarray(t.column("size")), np.asarray(t.column("less")), t.column("base")[0].as_py(), differ, threshold)
+        if (b != b[0]).any():
             linked &= b[:, None] != b[None, :]
         return _emit(ids, linked, np.asarray(t.column("w")))
 
-    one = known.join(members, "id").dropDuplicates(["id"]) if _repeated(sets) else known.join(members, "id")
-    dealt = deal(one, "component", "n", "id", BLOCK).select("component", "_i", "_j", "_b", "id", "w", "text")
+    dealt = deal(members, "component", "m", "id", BLOCK).select("component", "_i", "_j", "_b", "id", "w", "size", "less", "base", "differ")
     links = cut(grouped(dealt, ["component", "_i", "_j"], "id", compare, "a long, b long, weight long"))
-    classes = components(links.select("a", "b"))
+    release(group, sizes, found, members)
+    linked = components(links.select("a", "b"))
+    classes = linked.withColumnRenamed("component", "label")
+    least = classes.join(folded.select(F.col("rep").alias("node"), "least"), "node").groupBy("label").agg(F.min("least").alias("name"))
     direct = links.groupBy("a").agg(F.sum("weight").alias("direct"))
-    final = folded.select("s1", "s2", "size", "rep", "n").join(classes, F.col("rep") == F.col("node"), "left").join(direct, F.col("rep") == F.col("a"), "left")
-    final = cut(final.select("s1", "s2", "size", F.coalesce("component", "rep").alias("class_id"), (F.col("n") - 1 + F.coalesce("direct", F.lit(0))).alias("n_links")))
-    out = sets.select("id", "s1", "s2", "size").join(final, ["s1", "s2", "size"], "left")
-    out = out.select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    nameless = source.where("id is null").select("id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    final = folded.select("s1", "s2", "size", "rep", "least", "n").join(named(classes, least).withColumnRenamed("node", "rep"), "rep", "left").join(direct.withColumnRenamed("a", "rep"), "rep", "left")
+    sig = F.struct("s1", "s2", "size").alias("sig")
+    final = cut(final.select(sig, F.coalesce("name", "least").alias("class_id"), (F.col("n") - 1 + F.coalesce("direct", F.lit(0))).alias("n_links")))
+    release(grouped_sets, links, linked)
+    rows = sets.where("size > 0").select("id", sig)
+    out = join_hot(rows, final, "sig").select("id", "class_id", "n_links")
+    out = out.unionByName(sets.where("size = 0").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+    nameless = source.where("id is null").select("id", F.lit(None).cast(kind).alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     out = out.unionByName(nameless).withColumn("kept", F.col("id").eqNullSafe(F.col("class_id")))
     return out.withColumnRenamed("id", id_col)
 
@@ -272,15 +331,19 @@ def _repeated(sets: DataFrame) -> bool:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one row of each class of near_duplicates(), the one with the smallest id; all columns stay.
+    """docs with one row of each class of near_duplicates(), the one with the smallest id; all columns stay as they are.
 
-    Rows without an id stay. Of rows that share an id one stays, whichever sorts first by text.
+    Rows without an id stay, and so do texts without words. Of rows that share an id one stays, whichever sorts first by
+    text. Ids are of any type that has an order; column names are free; an empty table gives an empty one.
     """
-    source = docs.select(docs[id_col].cast("long").alias("_id"), docs[text_col].cast("string").alias("_text"))
-    keep = near_duplicates(source, "_id", "_text", **options).where("kept and _id is not null").select("_id")
-    if not source.where("_id is not null").groupBy("_id").count().where("count > 1").isEmpty():
-        keep = keep.distinct()
+    names, number = docs.columns, "_row"
+    while number in names:
+        number += "_"
+    if not docs.where(docs[id_col].isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty():
         first = Window.partitionBy(docs[id_col]).orderBy(docs[text_col])
-        docs = docs.withColumn("_row", F.when(docs[id_col].isNull(), F.lit(1)).otherwise(F.row_number().over(first))).where("_row = 1").drop("_row")
-    known = docs.join(keep, docs[id_col] == keep["_id"], "left_semi")
+        numbered = docs.where(docs[id_col].isNotNull()).withColumn(number, F.row_number().over(first))
+        docs = numbered.where(F.col(number) == 1).select(*names).unionByName(docs.where(docs[id_col].isNull()))
+    source = docs.where(docs[id_col].isNotNull()).select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+    keep = near_duplicates(source, "id", "text", **options).where("kept").select(F.col("id").alias(number))
+    known = docs.join(keep, docs[id_col] == keep[number], "left_semi")
     return known.unionByName(docs.where(docs[id_col].isNull()))

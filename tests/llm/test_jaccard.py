@@ -1,11 +1,13 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 
+from arborspark.llm.blocks import deal
 from arborspark.llm.components import components
 from arborspark.llm.decontaminate import words
-from arborspark.llm.jaccard import keep_one, near_duplicates, runs_for
+from arborspark.llm.jaccard import BLOCK, _exact_links, keep_one, near_duplicates, runs_for
 
 
 def brute(texts):
@@ -75,6 +77,53 @@ def test_null_ids_and_repeated_rows(documents, prose):
     assert sorted((r["doc_id"] or 0, r["class_id"] or 0, r["n_links"], r["kept"]) for r in rows) == [(0, 0, 0, True), (4, 4, 1, True), (4, 4, 1, True)]
 
 
+def test_any_ids_and_clashing_columns(spark, prose):
+    """Ids may be strings, repeat with other texts, and stand beside columns with names that are used inside."""
+    a, b, c = prose(1, 60), prose(2, 60), prose(3, 60)
+    near = a.replace(a.split()[30], "changed", 1)
+    rows = [("d", a, 1), ("b", near, 2), ("c", b, 3), ("c", a, 4), ("e", b, 5), ("f", c, 6), ("f", c, 7)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, _row int").selectExpr("*", "_row AS rep", "_row AS n", "_row AS component")
+    got = sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in near_duplicates(docs).collect())
+    assert got == [("b", "b", 2), ("c", "b", 2), ("c", "c", 1), ("d", "b", 2), ("e", "c", 1), ("f", "f", 1), ("f", "f", 1)]
+    kept = keep_one(docs)
+    assert kept.columns == docs.columns
+    left = {r["doc_id"]: r["_row"] for r in kept.collect()}
+    assert set(left) == {"b", "e", "f"} or set(left) == {"b", "c", "f"}
+    assert kept.count() == 3
+
+
+def test_recall_at_the_threshold(documents, prose):
+    """Pairs of Jaccard similarity from 0.80 to 0.82, each met or not: all links of brute force are found."""
+    rng, texts = random.Random(8), []
+    for i in range(150):
+        w = prose(1000 + i, 150).split()
+        x = list(w)
+        for at in rng.sample(range(10, 140, 6), 3):
+            x[at] = f"y{rng.randrange(10**6)}"
+        texts += [" ".join(w), " ".join(x)]
+    want = brute(texts)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in near_duplicates(documents(texts)).collect()}
+    assert sum(n for _, n in want) > 200
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_what_is_dealt_for_a_class_of_5000(spark):
+    """Each set goes to five tasks, as the few shingles in which it differs from one of the class."""
+    members = spark.range(5000).selectExpr("id", "0 AS component", "5000 AS m")
+    assert deal(members, "component", "m", "id", BLOCK).count() == 5 * 5000
+
+
+def test_links_from_differences():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.choice(60, int(rng.integers(20, 60)), replace=False)).astype(np.uint64) for _ in range(40)]
+    base = sets[0]
+    differ = [np.setxor1d(s, base) for s in sets]
+    less = np.array([len(np.setdiff1d(base, s)) for s in sets])
+    got = _exact_links(np.array([len(s) for s in sets]), less, len(base), differ, 0.5)
+    want = [[i != j and len(np.intersect1d(a, b)) >= 0.5 * len(np.union1d(a, b)) for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+    assert got.tolist() == want
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 500), (7, 7)], "a long, b long")
     got = {r["node"]: r["component"] for r in components(edges).collect()}
