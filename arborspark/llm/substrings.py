@@ -6,7 +6,8 @@ windows have equal minimizers at different places, so the estimate is never belo
 of the counters are needed. Second pass: only windows estimated to repeat are grouped exactly, by a 128-bit hash. Each
 chunk of documents asks once for each distinct window, however often it holds it, and gets one bit back, so a passage
 that every document holds makes as many rows as there are chunks. A sketch that is too small for its corpus lets more
-windows through to the exact pass; it never loses one.
+windows through to the exact pass; it never loses one. Chunks are packed as the texts lie and written once, so texts are
+not shuffled, and the shard of a window follows from its hash by arithmetic.
 """
 
 from __future__ import annotations
@@ -19,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_SEPARATED, Words, bounded_batches, chunk_of, mix, slices, sliding_min, text_bytes, window_hash
+from .common import SPACE_SEPARATED, Words, bounded_batches, mix, one_by_one, packed, slices, sliding_min, spread, text_bytes, unpacked, window_hash
 
-WIDTH, GRAM, DEPTH, BLOCK_BITS, CHUNK_BYTES = 35, 18, 3, 16, 8 << 20
+WIDTH, GRAM, DEPTH, BLOCK_BITS, CHUNK_BYTES, SHARD_BYTES = 35, 18, 3, 16, 8 << 20, 32 << 20
 #: Cells of a sketch row: about two for each minimizer, at most 2**28 (a bound of 32 MB a row for what executors get).
 MIN_BITS, MAX_BITS, BYTES_PER_CELL = 16, 28, 30
 _SALT = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89], np.uint64)
@@ -123,9 +124,11 @@ class _Candidates:
         self.h1, self.h2 = h1[new], h2[new]
         self.many = np.bincount(self.key, minlength=len(self.h1)) > 1
 
-    def edges(self, shards: int) -> np.ndarray:
-        """Where each shard begins among the distinct hashes."""
-        return np.searchsorted(self.h1, np.array([(k << 64) // shards for k in range(shards)], np.uint64))
+    def parts(self, shards: int) -> tuple[np.ndarray, np.ndarray]:
+        """The shards that have distinct hashes of this chunk, in order, and where each begins among them (and the end)."""
+        shard = ((self.h1 >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+        first = np.flatnonzero(np.diff(shard, prepend=-1))
+        return shard[first], np.append(first, len(shard))
 
 
 def _shared(key1: np.ndarray, key2: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -161,23 +164,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    source = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+    source = spread(docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")))
     kind = source.schema["id"].dataType.simpleString()
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(MAX_BITS, max(MIN_BITS, math.ceil(math.log2(total / BYTES_PER_CELL + 1))))
     table = spark.sparkContext.broadcast(sketch(source, bits, width, gram, depth))
-    n = max(math.ceil(total / chunk_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    shards = n
-    chunks = source.withColumn("chunk", chunk_of(n, "id", "text")).repartition(n, "chunk")
-
-    def ask(t: pa.Table) -> pa.Table:
-        c = _Candidates(text_bytes(t.column("text")), table.value, bits, width, gram)
-        edge = np.append(c.edges(shards), len(c.h1))
-        used = np.flatnonzero(np.diff(edge))
-        keys = [np.concatenate([c.h1[edge[k] : edge[k + 1]], c.h2[edge[k] : edge[k + 1]]]).tobytes() for k in used]
-        many = [np.packbits(c.many[edge[k] : edge[k + 1]]).tobytes() for k in used]
-        chunk = t.column("chunk")[0].as_py()
-        return pa.table({"shard": pa.array(used, pa.int32()), "chunk": pa.array([chunk] * len(used), pa.int32()), "keys": pa.array(keys, pa.binary()), "many": pa.array(many, pa.binary())})
+    shards = max(math.ceil(total / SHARD_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    chunks = packed(source, chunk_bytes)
+
+    def ask(batches):
+        for t in one_by_one(batches):
+            c = _Candidates(text_bytes(unpacked(t).column("text")), table.value, bits, width, gram)
+            used, edge = c.parts(shards)
+            span = [slice(a, b) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+            keys = [np.concatenate([c.h1[i], c.h2[i]]).tobytes() for i in span]
+            many = [np.packbits(c.many[i]).tobytes() for i in span]
+            chunk = t.column("chunk")[0].as_py()
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([chunk] * len(used), pa.int64()), pa.array(keys, pa.binary()), pa.array(many, pa.binary())], ["shard", "chunk", "keys", "many"])
 
     def answer(t: pa.Table) -> pa.Table:
         keys = [np.frombuffer(k, np.uint64).reshape(2, -1) for k in t.column("keys").to_pylist()]
@@ -188,20 +191,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.table({"shard": t.column("shard"), "chunk": t.column("chunk"), "bits": pa.array([np.packbits(x).tobytes() for x in np.split(found, cut)], pa.binary())})
 
     def clean(left: pa.Table, right: pa.Table) -> pa.Table:
-        raw = text_bytes(left.column("text"))
+        docs = unpacked(left)
+        raw = text_bytes(docs.column("text"))
         c = _Candidates(raw, table.value, bits, width, gram)
-        edge = np.append(c.edges(shards), len(c.h1))
+        used, edge = c.parts(shards)
+        at = {k: (a, b) for k, a, b in zip(used.tolist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True)}
         repeated = np.zeros(len(c.h1), bool)
         for k, got in zip(right.column("shard").to_pylist(), right.column("bits").to_pylist(), strict=True):
-            a, b = edge[k], edge[k + 1]
+            a, b = at[k]
             repeated[a:b] = np.unpackbits(np.frombuffer(got, np.uint8), count=b - a)
         hit = repeated[c.key]
         doc, first = c.doc[hit], c.first[hit]
         cut = np.searchsorted(doc, np.arange(len(raw) + 1))
         rows = [_kept(t, first[cut[i] : cut[i + 1]], width) for i, t in enumerate(raw)]
-        return pa.table({"id": left.column("id"), "n_words": pa.array([r[0] for r in rows], pa.int64()), "n_removed": pa.array([r[1] for r in rows], pa.int64()), "kept": pa.array([r[2] for r in rows], pa.string())})
+        return pa.table({"id": docs.column("id"), "n_words": pa.array([r[0] for r in rows], pa.int64()), "n_removed": pa.array([r[1] for r in rows], pa.int64()), "kept": pa.array([r[2] for r in rows], pa.string())})
 
-    asked = chunks.groupBy("chunk").applyInArrow(ask, "shard int, chunk int, keys binary, many binary")
-    answers = asked.groupBy("shard").applyInArrow(answer, "shard int, chunk int, bits binary").repartition(n, "chunk")
+    asked = chunks.mapInArrow(ask, "shard int, chunk long, keys binary, many binary")
+    answers = asked.groupBy("shard").applyInArrow(answer, "shard int, chunk long, bits binary")
     out = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(clean, f"id {kind}, n_words long, n_removed long, kept string")
     return out.withColumnRenamed("id", id_col)
