@@ -91,7 +91,7 @@ def log_softmax(bias: np.ndarray, weights: np.ndarray, rows: list[np.ndarray]) -
 
 
 def expect(out: np.ndarray, bias: np.ndarray, weights: np.ndarray, rows: list[np.ndarray]) -> None:
-    """Adds to out the counts of features with classes that the model expects for these histories; equal histories are worked out once."""
+    """Adds to out (template, class, row) the counts of features with classes that the model expects for these histories; equal histories are worked out once."""
     bits = ROWS.bit_length() - 1
     key = rows[0]
     for r in rows[1:]:
@@ -102,11 +102,12 @@ def expect(out: np.ndarray, bias: np.ndarray, weights: np.ndarray, rows: list[np
         f = [key[i] >> bits * (TEMPLATES - 1 - k) & (ROWS - 1) for k in range(TEMPLATES)]
         p = np.exp(log_softmax(bias, weights, f))
         p *= times[i, None].astype(np.float32)
-        for k in range(TEMPLATES):
-            order = np.argsort(f[k], kind="stable")
-            row = f[k][order]
-            first = np.flatnonzero(np.diff(row, prepend=-1))
-            out[k][row[first]] += np.add.reduceat(p[order], first, axis=0)
+        p = np.ascontiguousarray(p.T)  # a sum for each class over rows of a template is one pass over contiguous numbers
+        first = np.flatnonzero(np.diff(f[0], prepend=-1))  # histories are in the order of the first template's rows
+        out[0][:, f[0][first]] += np.add.reduceat(p, first, axis=1)
+        for k in range(1, TEMPLATES):
+            for c in range(CLASSES):
+                out[k, c] += np.bincount(f[k], weights=p[c], minlength=ROWS)
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 7, held: int = 2, rounds: int = ROUNDS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -120,7 +121,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     bounded_batches(spark)
     source = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    chunks = cut(packed(source, chunk_bytes))
+    chunks = packed(source, chunk_bytes)
     shards = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds = np.array([(k << 64) // shards for k in range(shards)], np.uint64)
 
@@ -232,10 +233,10 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         sent = spark.sparkContext.broadcast((bias, weights))
 
         def expected(t: pa.Table, sent=sent) -> np.ndarray:
-            out = np.zeros((TEMPLATES, ROWS, CLASSES), np.float32)
+            out = np.zeros((TEMPLATES, CLASSES, ROWS), np.float32)
             for _, away, x in read(t):
                 expect(out, *sent.value, [r[~away[x.doc]] for r in x.history()])
-            return out
+            return np.ascontiguousarray(out.transpose(0, 2, 1))
 
         mean = (seen - summed(expected, CLASSES)) / (each + pull)
         weights = (weights + RATE * mean / np.sqrt(prior * (1 - prior) + 1e-4)).astype(np.float32)
