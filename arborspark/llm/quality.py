@@ -19,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, packed, slices, text_bytes, unpacked
+from .common import bounded_batches, cut, join_hot, one_by_one, packed, slices, spread, text_bytes, unpacked
 
 ORDER, QUANTILE, HELD, CHUNK_BYTES = 5, 0.995, 5, 16 << 20
 #: Distinct n-grams up to which their log probabilities (12 bytes each) are sent to the executors; beyond it they are joined to chunks.
 TABLE_LIMIT = 4_000_000
+#: Languages up to which thresholds are sent to the texts.
+LANGUAGES = 10_000
 
 
 def grams(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -93,15 +95,16 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    source = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
+    source = spread(docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang")))
     kind = source.schema["id"].dataType.simpleString()
-    chunks = packed(source, chunk_bytes).repartition("chunk")
+    chunks = packed(source, chunk_bytes)
 
-    def ids(t: pa.Table) -> pa.Table:
-        d = unpacked(t)
-        return pa.table({"chunk": pa.array([t.column("chunk")[0].as_py()] * d.num_rows, pa.int64()), "id": d.column("id")})
+    def ids(batches):
+        for t in one_by_one(batches):
+            for b in unpacked(t).select(["id"]).to_batches():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, t.column("chunk")[0].as_py())), b.column(0)], ["chunk", "id"])
 
-    named = chunks.groupBy("chunk").applyInArrow(ids, f"chunk long, id {kind}")
+    named = chunks.mapInArrow(ids, f"chunk long, id {kind}")
     known = trusted.select(F.col(trusted.columns[0]).alias("id")).distinct()
     wanted = named.join(known, "id", "left_semi")
 
@@ -165,9 +168,10 @@ def _by_table(source: DataFrame, probs: DataFrame, kind: str, held: int) -> Data
 def _by_chunk(chunks: DataFrame, probs: DataFrame, kind: str, held: int) -> DataFrame:
     """Scores by a join: every chunk asks once for each of its distinct n-grams."""
 
-    def ask(t: pa.Table) -> pa.Table:
-        key, _ = _counted(text_bytes(unpacked(t).column("text")))
-        return pa.table({"chunk": pa.array(np.full(len(key), t.column("chunk")[0].as_py(), np.int64)), "key": pa.array(key)})
+    def ask(batches):
+        for t in one_by_one(batches):
+            key, _ = _counted(text_bytes(unpacked(t).column("text")))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), t.column("chunk")[0].as_py(), np.int64)), pa.array(key)], ["chunk", "key"])
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         d = unpacked(left)
@@ -177,7 +181,7 @@ def _by_chunk(chunks: DataFrame, probs: DataFrame, kind: str, held: int) -> Data
         size, ppl = _rated(raw, key[order], logp[order])
         return pa.table({"id": d.column("id"), "lang": d.column("lang"), "n_bytes": size, "perplexity": ppl, "held_out": pa.array([_held(t, held) for t in raw], pa.bool_())})
 
-    found = chunks.groupBy("chunk").applyInArrow(ask, "chunk long, key long").join(probs, "key").select("chunk", "key", "logp")
+    found = chunks.mapInArrow(ask, "chunk long, key long").join(probs, "key").select("chunk", "key", "logp")
     return chunks.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(score, f"id {kind}, lang string, n_bytes long, perplexity double, held_out boolean")
 
 
@@ -202,17 +206,20 @@ def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", quanti
     The threshold of a language is the quantile of its trusted texts that are held out of the counts (one in held, by
     text). Where they are too few for any to lie beyond the quantile, it is the quantile of a log-normal fitted to them,
     with the prediction error of their number; a language with fewer than two takes the threshold of all held-out ones.
-    A text without bytes is not kept; without two held-out trusted texts every other text is.
+    A text without bytes is not kept; without two held-out trusted texts every other text is. A perplexity of exactly the
+    threshold is kept; columns of other names are not looked at. Thresholds, one for each language, are sent to the texts where
+    there are at most LANGUAGES of them and joined otherwise; a frequent language is not brought into one task either way.
     """
     scored = cut(perplexities(docs, trusted, id_col, held=held, **columns))
     lang = F.coalesce("lang", F.lit("")).alias("_lang")
     known = scored.where("trusted and held_out and perplexity is not null")
     found = [F.percentile_approx("perplexity", quantile, 10_000).alias("q"), F.count("*").alias("n"), F.avg(F.log("perplexity")).alias("m"), F.stddev_samp(F.log("perplexity")).alias("d")]
     limit = F.udf(lambda *x: bound(quantile, *x), "double")("q", "n", "m", "d").alias("q")
-    by_lang = known.groupBy(lang).agg(*found).select("_lang", limit)
+    by_lang = cut(known.groupBy(lang).agg(*found).select("_lang", limit))
     overall = bound(quantile, *known.agg(*found).first())
     other = F.lit(float("inf") if overall is None else overall)
-    out = scored.join(by_lang, F.coalesce("lang", F.lit("")) == F.col("_lang"), "left")
+    scored = scored.withColumn("_lang", lang)
+    out = scored.join(F.broadcast(by_lang), "_lang", "left") if by_lang.count() <= LANGUAGES else join_hot(scored, by_lang, "_lang", "left")
     out = out.withColumn("threshold", F.coalesce("q", other)).drop("_lang", "q", "held_out")
     return out.withColumn("keep", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)))
 
