@@ -2,8 +2,10 @@
 
 A text becomes a normalised TF-IDF vector of hashed byte 2- and 3-grams of its lower-cased letters. Each language has
 several centroids, found by spherical k-means over a bounded sample of labelled rows (``per_language``, a documented
-parameter); idf and the rejection radii come from the same sample. A text takes the language of the centroid with the
-largest cosine, and is rejected if it has no letter or lies farther from that centroid than texts of about its length do.
+parameter); idf comes from the same sample. A text takes the language of the centroid with the largest cosine, and is rejected
+if it has no letter or lies too far from that centroid for its length. The radii are calibrated on the fourth part of the
+sample, which the centroids have not seen: for each length class, the cosine that 95 of 100 foreign texts (texts of a
+language, compared with the centroids of all others) do not reach, but never so much that a text of a known language fails.
 """
 
 from __future__ import annotations
@@ -12,15 +14,22 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, bounded_batches, slices
+from .common import SLICE_BYTES, bounded_batches, slices, spread
 
-DIM, PER_LANGUAGE, CENTROIDS, ROUNDS, SLACK = 4096, 800, 4, 12, 0.5
+DIM, PER_LANGUAGE, CENTROIDS, ROUNDS = 4096, 800, 4, 12
+#: Share of foreign texts that a radius shuts out where known ones allow it, how far below the lowest known cosine it stays, texts to calibrate a class on.
+FOREIGN, ROOM, ENOUGH, LANGUAGES = 0.95, 0.95, 40, 200
 _KEEP = bytes(c if 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 _DROP = bytes(c for c in range(0x21, 0x80) if not 0x61 <= c <= 0x7A)
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile(r"[^\W\d_]+")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a text has a letter; number forms like a half or a Roman numeral sign are none."""
+    return any(c.isalpha() for m in _LETTER.finditer(text) for c in m.group())
 
 
 def ngram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -55,16 +64,29 @@ def _length_class(n: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(np.maximum(n, 1)).astype(int), 15)
 
 
+def _dense(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and lengths of texts given as (length, buckets, counts)."""
+    x = np.zeros((len(rows), DIM), np.float32)
+    for i, (_, at, c) in enumerate(rows):
+        x[i, at] = c
+    return x, np.array([r[0] for r in rows], np.int64)
+
+
 class Model:
-    """idf, centroids with their languages, and the least cosine accepted for each length class."""
+    """idf, centroids with their languages, the least cosine accepted for each length class, and the error rates of calibration.
 
-    def __init__(self, rows: dict[str, tuple[np.ndarray, np.ndarray]], centroids: int = CENTROIDS, rounds: int = ROUNDS, slack: float = SLACK):
-        seen = sum((x > 0).sum(0) for x, _ in rows.values()) if rows else np.zeros(DIM)
-        total = sum(len(x) for x, _ in rows.values())
+    rows holds, for each language, its texts as (length, buckets, counts); one language is unfolded at a time.
+    """
+
+    def __init__(self, rows: dict[str, list], centroids: int = CENTROIDS, rounds: int = ROUNDS):
+        seen, total = np.zeros(DIM), sum(map(len, rows.values()))
+        for got in rows.values():
+            for _, at, _ in got:
+                seen[at] += 1
         self.idf = np.log((1 + total) / (1 + seen)).astype(np.float32) + 1
-        self.langs, centres, cosines, classes = [], [], [], []
+        self.langs, centres = [], []
         for lang in sorted(rows):
-            x = self.vectors(rows[lang][0])
+            x = self.vectors(_dense([r for i, r in enumerate(rows[lang]) if i % 4 != 3])[0])
             rng = np.random.default_rng(5)
             k = min(centroids, len(x))
             c = x[rng.choice(len(x), k, replace=False)]
@@ -73,15 +95,28 @@ class Model:
                 c = _unit(np.stack([x[near == j].sum(0) if (near == j).any() else c[j] for j in range(k)]))
             centres.append(c)
             self.langs += [lang] * k
-            cosines.append((x @ c.T).max(1))
-            classes.append(_length_class(rows[lang][1]))
         self.centres = np.concatenate(centres).astype(np.float32) if centres else np.zeros((0, DIM), np.float32)
+        self._calibrate(rows)
+
+    def _calibrate(self, rows: dict[str, list]) -> None:
+        own, foreign, classes = [np.zeros(0)], [np.zeros(0)], [np.zeros(0, np.int64)]
+        for lang in sorted(rows):
+            held = rows[lang][3::4]
+            if held:
+                x, n = _dense(held)
+                cos, mine = self.vectors(x) @ self.centres.T, np.array([y == lang for y in self.langs])
+                own.append(cos[:, mine].max(1))
+                foreign.append(cos[:, ~mine].max(1) if not mine.all() else np.zeros(len(held)))
+                classes.append(_length_class(n))
+        own, foreign, classes = np.concatenate(own), np.concatenate(foreign), np.concatenate(classes)
         self.least = np.zeros(16)
-        if centres:
-            cos, cls = np.concatenate(cosines), np.concatenate(classes)
-            for j in range(16):
-                here = cos[cls == j]
-                self.least[j] = slack * here.min() if len(here) >= 20 else 0.0
+        for j in range(16 if len(own) else 0):
+            reach = next((w for w in range(16) if (np.abs(classes - j) <= w).sum() >= ENOUGH), 16)  # neighbouring classes help out
+            here = np.abs(classes - j) <= reach
+            self.least[j] = max(0.0, min(np.quantile(foreign[here], FOREIGN), ROOM * own[here].min()))
+        #: Shares of the held-out texts of known languages that are rejected and, as foreign ones, accepted.
+        self.rejected = float((own < self.least[classes]).mean()) if len(own) else 0.0
+        self.accepted = float((foreign >= self.least[classes]).mean()) if len(own) else 0.0
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
         return _unit(np.log1p(counts.astype(np.float32)) * self.idf)
@@ -89,7 +124,7 @@ class Model:
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, cosine and whether the text is rejected."""
         counts, n = ngram_counts(texts)
-        letters = np.array([bool(_LETTER.search(t)) for t in texts], bool)
+        letters = np.array([has_letter(t) for t in texts], bool)
         if not self.langs:
             return ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
         cos = self.vectors(counts) @ self.centres.T
@@ -100,20 +135,27 @@ class Model:
         return langs, score, ~letters | (score < self.least[_length_class(n)])
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, **options) -> Model:
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, max_languages: int = LANGUAGES, **options) -> Model:
     """A model from rows with a language and a text.
 
-    Up to about per_language rows of each language are used, those with the smallest hash of the text; rows are cut to
-    the sample by a hash threshold from each language's count, so nothing is gathered by language in one task. Rows with
-    a null text or language are left out; no rows at all give a model that rejects everything.
+    At most per_language distinct texts of each language are used, those with the smallest hashes; copies count once, so a
+    text repeated often neither crowds out others nor is more than one row. Rows are thinned by a hash threshold from each
+    language's number of distinct texts before they are ranked, so nothing unbounded is gathered by language. Rows with a
+    null text or language are left out; no rows at all give a model that rejects everything; more than max_languages
+    languages are an error, as the model holds centroids for each.
     """
-    rows = labelled.select(labelled[text_col].alias("text"), labelled[lang_col].alias("lang")).where("text is not null and lang is not null")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    rows = spread(labelled.select(labelled[text_col].alias("text"), labelled[lang_col].alias("lang"))).where("text is not null and lang is not null")
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).limit(max_languages + 1).collect()}
+    if len(counts) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
     if not counts:
         return Model({})
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.2 * per_language / n))])
-    u = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(u < F.element_at(share, F.col("lang")))
+    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.5 * per_language / max(n, 1)))])
+    u = F.pmod("h", F.lit(1 << 30)) / float(1 << 30)
+    sample = rows.where(u < F.element_at(share, F.col("lang"))).groupBy("lang", "h").agg(F.any_value("text").alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))
+    sample = sample.withColumn("rank", rank).where(F.col("rank") <= per_language).select("text", "lang")
 
     def features(batches):
         for b in batches:
@@ -128,14 +170,9 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per
     sparse: dict[str, list] = {}
     for r in sample.mapInArrow(features, "lang string, n long, at array<int>, count array<int>").toLocalIterator():
         sparse.setdefault(r["lang"], []).append((r["n"], np.array(r["at"], np.int64), np.array(r["count"], np.float32)))
-    dense = {}
-    for lang, got in sparse.items():
-        got = sorted(got, key=lambda g: (g[0], g[1].tobytes()))  # whatever the order of partitions
-        x = np.zeros((len(got), DIM), np.float32)
-        for i, (_, at, c) in enumerate(got):
-            x[i, at] = c
-        dense[lang] = (x, np.array([g[0] for g in got], np.int64))
-    return Model(dense, **options)
+    for got in sparse.values():
+        got.sort(key=lambda g: (g[1].tobytes(), g[2].tobytes()))  # whatever the order of partitions
+    return Model(sparse, **options)
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
@@ -148,7 +185,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[
     bounded_batches(docs.sparkSession)
     new = ["lang_pred", "score", "rejected"]
     names = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    source = docs.select(*[docs[c] for c in names], docs[text_col].alias("_text"))
+    source = spread(docs.select(*[docs[c] for c in names], docs[text_col].alias("_text")))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[: len(names)]), "lang_pred string, score double, rejected boolean"])
     sent = source.sparkSession.sparkContext.broadcast(model)
 
