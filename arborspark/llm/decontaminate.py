@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALPHANUMERIC, LOWER, bounded_batches, slices, text_bytes
+from .common import ALPHANUMERIC, LOWER, bounded_batches, slices, spread, text_bytes
 
 WINDOW, SAMPLE, SHARD_BYTES, BLOCK_BYTES = 8, 4, 8 << 20, 8 << 20
 #: Lower-cases A-Z and turns every byte outside words into a space.
@@ -120,7 +120,7 @@ class Block:
         for p in owners:
             for w in p:
                 self.vocab.setdefault(w, len(self.vocab) + 1)
-        self.owners = [sorted(o, key=str) for o in owners.values()]
+        self.owners = [sorted(o) for o in owners.values()]
         self.lengths = np.array([len(p) for p in owners], np.int64)
         self.patterns = np.zeros((len(owners), int(self.lengths.max(initial=1))), np.int64)
         for i, p in enumerate(owners):
@@ -161,7 +161,7 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int = BLOCK_
         if items and size + len(raw) > limit:
             yield Block(items)
             items, size = [], 0
-        items.append((r["id"], raw))
+        items.append(("" if r["id"] is None else str(r["id"]), raw))
         size += len(raw)
     if items:
         yield Block(items)
@@ -188,7 +188,7 @@ def _shards(raw: list[bytes], block: Block) -> Iterator[tuple[int, list[bytes],
             spans.setdefault(d, []).append((a, a + int(block.lengths[p])))
             items.setdefault(d, set()).update(block.owners[p])
         for i, d in enumerate(docs):
-            yield s + i, d, merge(spans.get(i, [])), sorted(items.get(i, ()), key=str)
+            yield s + i, d, merge(spans.get(i, [])), sorted(items.get(i, ()))
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -202,12 +202,14 @@ def _with(spans: list[dict], found: list[tuple[int, int]]) -> list[dict]:
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """id, n_words, spans (merged word ranges [start, end) that benchmark windows cover), items (of those windows, as strings).
 
-    A null or empty text has no words; an item without words has no window; repeated rows give a row each; empty tables
-    work; other columns are ignored. Nothing is shuffled: the blocks of a benchmark of more than block_bytes are searched
+    A null or empty text has no words; an item without words has no window; an item without an id is named by the empty
+    string; repeated rows and rows with null ids give a row each; several items with one id are one; a window that several
+    items hold counts for each. Texts are searched whole, however long; empty tables work; other columns are ignored.
+    Nothing is shuffled: the blocks of a benchmark of more than block_bytes are searched
     one after another, and each row carries what was found so far.
     """
     bounded_batches(docs.sparkSession)
-    source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    source = spread(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")))
     kind = source.schema["id"].dataType.simpleString()
     schema = f"id {kind}, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
 
@@ -219,7 +221,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 for i, w, found, of in _shards(text_bytes(b.column("text")), block):
                     n.append(len(w))
                     spans.append(_with(before[i][0], found))
-                    items.append(sorted({*before[i][1], *map(str, of)}))
+                    items.append(sorted({*before[i][1], *of}))
                 out = [b.column("id"), pa.array(n, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))]
                 names = ["id", "n_words", "spans", "items"]
                 yield pa.RecordBatch.from_arrays(out if last else [*out, b.column("text")], names if last else [*names, "text"])
@@ -262,7 +264,8 @@ def cut_words(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs with every removal span cut out of the texts; rows without a hit are unchanged, and all columns stay.
 
-    Nothing is shuffled. All blocks of the benchmark are judged on the text as it came: each row carries the spans found
+    A null text stays null, an empty one empty; repeated rows and rows with null ids are cut each; names of other columns
+    are free; without documents or items docs comes back as it is. Nothing is shuffled. All blocks of the benchmark are judged on the text as it came: each row carries the spans found
     so far, and the scan of the last block cuts them.
     """
     bounded_batches(docs.sparkSession)

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import bounded_batches, slices
+from .common import bounded_batches, slices, spread
 
 HUGE_CHARS, CHUNK_CHARS, OVERLAP_CHARS, STABLE_TOKENS = 1 << 16, 1 << 15, 512, 4
 
@@ -95,7 +95,7 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     one, and other columns are not looked at. No rows are shuffled.
     """
     bounded_batches(docs.sparkSession)
-    source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    source = spread(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")))
     kind = source.schema["id"].dataType.simpleString()
 
     def run(batches):

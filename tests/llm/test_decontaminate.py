@@ -1,3 +1,4 @@
+import hashlib
 import re
 
 import numpy as np
@@ -63,6 +64,17 @@ def test_digest_and_empty_tables(case, documents, spark):
     assert {r["n_hit"] for r in digest(contamination(documents(texts), none)).collect()} == {0}
 
 
+def test_items_without_an_id_and_very_long_texts(documents, spark, prose):
+    item = prose(500, 12)
+    bench = spark.createDataFrame([(None, item), (3, item)], "item_id long, text string")
+    long = prose(501, 150_000) + " " + item + " " + prose(502, 150_000)
+    rows = {r["doc_id"]: r for r in digest(contamination(documents([long, item, "x"]), bench)).collect()}
+    assert [(rows[i]["n_words"], rows[i]["n_hit"], rows[i]["n_items"]) for i in range(3)] == [(300_012, 12, 2), (12, 12, 2), (1, 0, 0)]
+    assert rows[0]["items_sha256"] == hashlib.sha256(b",3").hexdigest() and rows[2]["items_sha256"] == hashlib.sha256(b"").hexdigest()
+    cut = {r["doc_id"]: r["text"] for r in decontaminate(documents([long, item, "x"]), bench).collect()}
+    assert len(words(cut[0].encode())) == 300_000 and cut[1] == "" and cut[2] == "x"
+
+
 def test_removal_leaves_clean_documents_alone(case, documents):
     texts, items, bench = case
     out = {r["doc_id"]: r for r in decontaminate(documents(texts), bench).collect()}
