@@ -1,8 +1,9 @@
 """Packing of documents into fixed-length training sequences as a cutting-stock problem solved by column generation.
 
-Every document becomes token ids with an end id. It is cut into pieces of the sequence length, then one piece whose
-length is a multiple of ``GRAIN``, then a tail shorter than that, so that pieces have few distinct lengths and the
-histogram of lengths (the only thing the driver sees) is bounded whatever the corpus size. A linear program over patterns
+Every document becomes token ids with an end id. It is cut into pieces of the sequence length and a rest. A rest below twice
+``TAIL`` stays whole; a longer one is cut into a piece whose length is a multiple of ``GRAIN`` and a tail of at least ``TAIL``, so
+that pieces have few distinct lengths, none is a sliver of its document, and the histogram of lengths (the only thing the
+driver sees) is bounded whatever the corpus size. A linear program over patterns
 of lengths is solved by column generation: a knapsack dynamic program prices new patterns. Pattern counts are rounded
 down, so every used pattern is exactly filled; what remains (at most about one sequence for each length) is packed by
 bounded knapsacks. Ranked pieces of a length then take the slots of the patterns in order, by arithmetic alone.
@@ -16,13 +17,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut
+from .common import bounded_batches, cut, spread
 from .tokens import load
 
-LENGTH, GRAIN, END_ID = 2048, 16, 1
+LENGTH, GRAIN, TAIL, END_ID, CHECKED = 2048, 16, 64, 1, 64
 #: Characters on which both libraries are tested to agree; texts with others take the reference library.
 _PLAIN = re.compile(r"[^\x00-ɏ]")
 
@@ -43,23 +45,25 @@ def encode_ids(text: str, tokenizer: str, ranks: str | None) -> np.ndarray:
     """Ids of a text as the tokenizers library gives them, without added special tokens.
 
     ranks names the same vocabulary for the faster library, which is used where both are known to agree: texts of plain
-    letters without a special string.
+    letters without a special string. One text in ``CHECKED`` of these (by its crc32) is encoded by both, and a difference
+    is an error.
     """
     if ranks and "<|" not in text and not _PLAIN.search(text):
-        return np.array(_ranks(ranks).encode_ordinary(text), "<u4")
+        ids = np.array(_ranks(ranks).encode_ordinary(text), "<u4")
+        if zlib.crc32(text.encode()) % CHECKED or np.array_equal(ids, load(tokenizer).encode(text, add_special_tokens=False).ids):
+            return ids
+        raise ValueError("the two libraries give different ids; pack without ranks")
     return np.array(load(tokenizer).encode(text, add_special_tokens=False).ids, "<u4")
 
 
-def cuts(n: int, length: int = LENGTH, grain: int = GRAIN) -> list[tuple[int, int]]:
+def cuts(n: int, length: int = LENGTH, grain: int = GRAIN, tail: int = TAIL) -> list[tuple[int, int]]:
     """(start, length) of the pieces of a document of n ids."""
-    out = [(s, length) for s in range(0, n - n % length, length)]
     rest, at = n % length, n - n % length
-    main = rest - rest % grain
-    if main:
-        out.append((at, main))
-    if rest % grain:
-        out.append((at + main, rest % grain))
-    return out
+    out = [(s, length) for s in range(0, at, length)]
+    if rest < 2 * tail or rest % grain == 0:
+        return [*out, (at, rest)] if rest else out
+    main = (rest - tail) - (rest - tail) % grain
+    return [*out, (at, main), (at + main, rest - main)]
 
 
 # --- linear program -----------------------------------------------------------------------------------------------------
@@ -89,12 +93,34 @@ def price(sizes: np.ndarray, values: np.ndarray, length: int) -> tuple[float, np
     return float(best[length]), pattern
 
 
+def first_basis(sizes: np.ndarray, need: np.ndarray, length: int) -> np.ndarray:
+    """A feasible basis to start from: the fullest pattern of what is left, used until one of its sizes runs out, and so on.
+
+    Later patterns lack the sizes that ran out, so the patterns, each paired with the size it used up, are a triangular matrix.
+    """
+    left, columns, open_sizes = need.astype(float), [], np.ones(len(sizes), bool)
+    while open_sizes.any():
+        pattern = fill(sizes, np.ceil(left).astype(np.int64), length)
+        has = np.flatnonzero(pattern)
+        if not len(has):  # what ran out together with another size
+            columns += [np.eye(len(sizes), dtype=np.int64)[i] for i in np.flatnonzero(open_sizes)]
+            break
+        ratio = left[has] / pattern[has]
+        out = has[int(ratio.argmin())]
+        left = left - ratio.min() * pattern
+        left[left < 1e-9] = 0
+        left[out] = 0
+        open_sizes[out] = False
+        columns.append(pattern)
+    return np.stack(columns, axis=1).astype(float)
+
+
 def solve(sizes: np.ndarray, need: np.ndarray, length: int = LENGTH, max_rounds: int = 1500) -> list[tuple[np.ndarray, int]]:
     """Patterns (counts by size) and how often each is used; together they hold exactly need pieces of each size."""
     m = len(sizes)
     if not m:
         return []
-    basis = np.diag(np.maximum(1, length // sizes)).astype(float)
+    basis = first_basis(sizes, need, length)
     for _ in range(max_rounds):
         duals = np.linalg.solve(basis.T, np.ones(m))
         worth, pattern = price(sizes, duals, length)
@@ -155,10 +181,12 @@ def fill(sizes: np.ndarray, left: np.ndarray, length: int) -> np.ndarray:
 
 
 def pieces(docs: DataFrame, tokenizer: str, ranks: str | None, id_col: str, text_col: str) -> DataFrame:
-    source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    """id, start, length, ids_crc32, doc_tokens and row (a number of the document's row) of every piece."""
+    source = spread(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")))
     kind = source.schema["id"].dataType.simpleString()
 
     def run(batches):
+        seen = TaskContext.get().partitionId() << 40
         for b in batches:
             row, start, size, crc, whole = [], [], [], [], []
             for i, t in enumerate(b.column(1).to_pylist()):
@@ -170,18 +198,20 @@ def pieces(docs: DataFrame, tokenizer: str, ranks: str | None, id_col: str, text
                     size.append(n)
                     crc.append(zlib.crc32(raw[4 * s : 4 * (s + n)]))
                     whole.append(len(ids))
-            cols = [b.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, size, crc, whole))]
-            yield pa.RecordBatch.from_arrays(cols, ["id", "start", "length", "ids_crc32", "doc_tokens"])
+            cols = [b.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, size, crc, whole)), pa.array(np.array(row, np.int64) + seen)]
+            seen += b.num_rows
+            yield pa.RecordBatch.from_arrays(cols, ["id", "start", "length", "ids_crc32", "doc_tokens", "row"])
 
-    return source.mapInArrow(run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
+    return source.mapInArrow(run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, row long")
 
 
 def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null or empty text is one piece holding the end id. Repeated rows are packed each, null ids stay null, other
-    columns are ignored, and an empty table gives no rows. The pieces are written once to the shared folder; after
-    that only small rows are shuffled, by length and a hash of the id, so that no length gathers in one task.
+    columns are ignored, and an empty table gives no rows. Pieces of one length are ranked by document (ties by where their
+    row was read). The pieces are written once to the shared folder; after that only small rows are shuffled, by length and
+    a hash of the row, so that no length and no group of equal rows gathers in one task.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -189,7 +219,7 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, id_col: str
     kind = parts.schema["id"].dataType.simpleString()
     total = parts.count()
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 20_000)
-    parts = parts.withColumn("_part", F.pmod(F.xxhash64("id", "ids_crc32"), F.lit(n)))
+    parts = parts.withColumn("_part", F.pmod(F.xxhash64("row"), F.lit(n)))
     counts = parts.groupBy("length", "_part").count()
     need = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
     full = need.pop(LENGTH, 0)
@@ -212,7 +242,7 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, id_col: str
 
     before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(F.col("length").alias("_l"), F.col("_part").alias("_p"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
-    inner = Window.partitionBy("length", "_part").orderBy("id", "start", "ids_crc32")
+    inner = Window.partitionBy("length", "_part").orderBy("id", "start", "row")
     ranks_df = parts.withColumn("_rank", F.row_number().over(inner) - 1).join(starts, (F.col("length") == F.col("_l")) & (F.col("_part") == F.col("_p")))
     ranks_df = ranks_df.select("id", "start", "length", "ids_crc32", "doc_tokens", (F.col("_rank") + F.col("_base")).alias("_rank"))
 

@@ -36,6 +36,23 @@ def test_patterns_hold_every_piece_exactly_once():
         assert sum(u for _, u in plan) <= least + 2 + least // 200
 
 
+def test_no_piece_is_a_sliver_of_its_document():
+    for n in range(1, 5000):
+        got = cuts(n)
+        assert [a for a, _ in got] == [sum(k for _, k in got[:i]) for i in range(len(got))] and sum(k for _, k in got) == n
+        assert all(k >= 64 for _, k in got[:-1]) and (got[-1][1] >= 64 or len(got) == 1 or n % LENGTH < 64)
+
+
+def test_a_difference_between_the_libraries_is_an_error(monkeypatch):
+    from arborspark.llm import packing
+
+    monkeypatch.setattr(packing, "CHECKED", 1)
+    assert len(encode_ids("plain text", JSON, RANKS))
+    monkeypatch.setattr(packing, "load", lambda path: load(public_tokenizers.path("word_bpe_49k.json")))
+    with pytest.raises(ValueError, match="different ids"):
+        encode_ids("plain text", JSON, RANKS)
+
+
 def test_every_id_lies_in_one_gapless_place(spark, documents, prose):
     texts = [None, "", "hi", prose(1, 10_000), prose(2, 700), prose(2, 700), "say <|endoftext|> now", "日本語 テキスト", *(prose(s, 30 * s) for s in range(3, 30))]
     rows = pack(documents(texts), JSON, RANKS).collect()
