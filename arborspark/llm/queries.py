@@ -38,9 +38,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .secrets import labelled_findings, scan, train
+    from .secrets import labelled_findings, learn_dictionary, scan, train
 
-    return scan(table(spark, sf_dir, "documents"), train(labelled_findings()))
+    docs = table(spark, sf_dir, "documents")
+    return scan(docs, train(labelled_findings(), learn_dictionary(docs)))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

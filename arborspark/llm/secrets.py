@@ -1,9 +1,11 @@
 """Secret scanning: patterns propose candidates, a random forest removes false positives.
 
-Candidates are long runs of key characters that hold a digit, values assigned to names that speak of secrets, and private
-key blocks. The forest judges each by its length, character transitions, dictionary coverage, the path it was found under
-and the neighbouring words. It is trained from labelled findings; ``labelled_findings`` makes a bounded, seeded set of
-them (real findings with labels can be given instead).
+Candidates are values assigned to names that speak of secrets, private key blocks from their first line to their last, and
+long runs of key characters that hold a digit or change case as no word does. The forest judges each by its length,
+character transitions, dictionary coverage, the path it was found under and the neighbouring words. Transitions and
+coverage go by a dictionary of the corpus: its ``VOCABULARY`` most frequent words, counted over all documents. The forest is
+trained from labelled findings, given as rows or as a table; ``labelled_findings`` makes a bounded, seeded set of them where
+no table holds any.
 """
 
 from __future__ import annotations
@@ -11,19 +13,26 @@ from __future__ import annotations
 import math
 import re
 import string
-from functools import lru_cache
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, spread
 
-FINDINGS, TREES, DEPTH, TRY, THRESHOLD, AROUND = 4000, 40, 9, 6, 0.5, 48
+FINDINGS, TREES, DEPTH, TRY, THRESHOLD, AROUND, VOCABULARY, LABELLED = 4000, 40, 9, 6, 0.5, 48, 20_000, 100_000
 
-_RUN = re.compile(r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]{0,256}[0-9])[A-Za-z0-9_+/=-]{16,}")
-_ASSIGNED = re.compile(r"(?i)(?:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)s?[\"']?\s{0,3}(?:=|:|=>)\s{0,3}[\"']?([^\s\"',;<>]{6,})")
-_PRIVATE = re.compile(r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,16384}(?:-----END [A-Z ]{0,24}PRIVATE KEY-----)?")
+_RUN = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,}")
+_CHANGE = re.compile(r"[a-z][A-Z]|[A-Z]{2}[a-z]")
+_ASSIGNED = re.compile(r"(?i)(?:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)s?[\"']?\s{0,3}(?:=>|=|:)\s{0,3}[\"']?([^\s\"',;<>]{6,})")
+#: A key from its first line over header lines and lines of any number (line ends may be escaped) to its last line, or to where such lines end.
+_PRIVATE = re.compile(
+    r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY(?: BLOCK)?-----"
+    r"(?:\s|\\[rn]|[\"',+](?=\s|\\|[\"'])|(?:Proc-Type|DEK-Info|Comment|Version|Hash|Charset):[^\n\\]{0,200}|[A-Za-z0-9+/=]{16,})*+"
+    r"(?:(?:[A-Za-z0-9+/=]{1,15}(?:\s|\\[rn]|[\"',+])*+)?-----END [A-Z ]{0,24}PRIVATE KEY(?: BLOCK)?-----)?"
+)
 
 # fixed values: words that stand near secrets and near harmless look-alikes, prefixes of issued keys, common English words
 _NEAR = "password passwd pwd secret token apikey api_key api-key access_key auth authorization bearer credential private key login".split()
@@ -39,55 +48,84 @@ _TEST_PATH = re.compile(r"(?i)test|spec|fixture|example|sample|mock|docs?/|readm
 _CONFIG_PATH = re.compile(r"(?i)\.env|config|settings|credential|\.ya?ml|\.ini|\.pem|\.toml|deploy")
 
 
-@lru_cache(maxsize=1)
-def _transitions() -> np.ndarray:
-    """Log probability of a letter after a letter in the dictionary, smoothed."""
-    c = np.full((26, 26), 0.3)
-    for w in _WORDS:
-        low = [ord(x) - 97 for x in w if x.isalpha()]
-        for a, b in zip(low[:-1], low[1:], strict=True):
-            c[a, b] += 1
-    return np.log(c / c.sum(1, keepdims=True))
-
-
-@lru_cache(maxsize=1)
-def _dictionary() -> re.Pattern:
-    return re.compile("|".join(sorted((w for w in set(_WORDS) if len(w) > 2), key=lambda w: (-len(w), w))))
-
-
-def features(before: str, value: str, after: str, path: str) -> list[float]:
-    n = len(value)
-    kinds = [0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3 for c in value[:512]]
-    m = len(kinds)
-    counts = [kinds.count(k) / m for k in range(4)]
-    chars: dict[str, int] = {}
-    for c in value[:512]:
-        chars[c] = chars.get(c, 0) + 1
-    entropy = -sum(x / m * math.log2(x / m) for x in chars.values())
-    letters = [ord(c) - 97 for c in value[:512].lower() if "a" <= c <= "z"]
-    t = _transitions()
-    flow = sum(t[a, b] for a, b in zip(letters[:-1], letters[1:], strict=True)) / max(1, len(letters) - 1) if len(letters) > 1 else -3.3
-    covered = sum(len(x) for x in _dictionary().findall(value[:512].lower())) / m
-    steps = sum(ord(b) - ord(a) in (0, 1) for a, b in zip(value[:511], value[1:512], strict=False)) / m
+class Dictionary:
+    """Words of the corpus: which stretches of a value are words, and how likely a letter follows a letter in them."""
+
+    def __init__(self, words: list[str] = ()):
+        known = {w for w in (*words, *_WORDS) if len(w) > 2}
+        self.words, self.longest = known, max(map(len, known))
+        c = np.full((26, 26), 0.3)
+        for w in known:
+            low = [ord(x) - 97 for x in w if "a" <= x <= "z"]
+            for a, b in zip(low[:-1], low[1:], strict=True):
+                c[a, b] += 1
+        self.flow = np.log(c / c.sum(1, keepdims=True))
+
+    def covered(self, letters: str) -> int:
+        """How many characters the longest words from the left cover."""
+        at = total = 0
+        n, words = len(letters), self.words
+        while at < n - 2:
+            for k in range(min(self.longest, n - at), 2, -1):
+                if letters[at : at + k] in words:
+                    total += k
+                    at += k
+                    break
+            else:
+                at += 1
+        return total
+
+
+def learn_dictionary(docs: DataFrame, text_col: str = "text", limit: int = VOCABULARY) -> Dictionary:
+    """The limit most frequent words (3 to 15 letters, lower-cased) of all texts; ties go by the word. Null texts have none."""
+    words = spread(docs.select(docs[text_col].cast("string").alias("t"))).select(F.explode(F.split(F.lower("t"), r"[^\p{L}]+")).alias("w"))
+    words = words.where(F.length("w").between(3, 15)).groupBy("w").agg(F.count("*").alias("n"))
+    return Dictionary([r["w"] for r in words.orderBy(F.desc("n"), "w").limit(limit).collect()])
+
+
+_LETTERS = re.compile(r"[^\W\d_]{3,}")
+_KIND = np.full(128, 3, np.uint8)
+_KIND[48:58], _KIND[97:123], _KIND[65:91] = 0, 1, 2
+
+
+def features(before: str, value: str, after: str, path: str, dictionary: Dictionary) -> list[float]:
+    """What the forest looks at, of the whole value."""
+    n, low = len(value), value.lower()
+    code = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = _KIND[np.minimum(code, 127)]
+    counts = np.bincount(kind, minlength=4) / n
+    chars = np.unique(code, return_counts=True)[1] / n
+    letters = np.frombuffer(low.encode("ascii", "ignore"), np.uint8)
+    letters = letters[(letters >= 97) & (letters <= 122)].astype(np.int64) - 97
+    flow = float(dictionary.flow[letters[:-1], letters[1:]].mean()) if len(letters) > 1 else -3.3
+    step = np.diff(code.astype(np.int64))
     near = before[-AROUND:].lower()
     words = set(re.findall(r"[a-z0-9_-]+", near + " " + after[:AROUND].lower()))
     return [
-        math.log(n), *counts, sum(a != b for a, b in zip(kinds[:-1], kinds[1:], strict=True)) / m, len(chars) / m, entropy, flow, covered, steps,
+        math.log(n), *counts.tolist(), float((kind[1:] != kind[:-1]).sum()) / n, len(chars) / n, -float((chars * np.log2(chars)).sum()), flow,
+        sum(dictionary.covered(m) for m in _LETTERS.findall(low)) / n, float(((step == 0) | (step == 1)).sum()) / n,
         float(all(c in "0123456789abcdefABCDEF-" for c in value)), float(re.search(r"[=:]\s*[\"']?$", before[-6:]) is not None), float(before[-1:] in "\"'`" and after[:1] in "\"'`" and bool(before) and bool(after)),
         float(any(w in near for w in _NEAR)), float(any(w in words for w in _HARMLESS)), float(value.startswith(_PREFIXES)), float(bool(_TEST_PATH.search(path))), float(bool(_CONFIG_PATH.search(path))),
-        sum(c in "aeiou" for c in value[:512].lower()) / m,
+        sum(map(low.count, "aeiou")) / n,
     ]
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Spans of the candidates, without overlaps; the earlier and longer stands."""
-    spans = [m.span() for m in _PRIVATE.finditer(text)] if "-----BEGIN" in text else []
-    spans += [m.span() for m in _RUN.finditer(text)]
-    spans += [m.span(1) for m in _ASSIGNED.finditer(text)]
+    """Spans of the candidates, without overlaps: private keys, then assigned values, then runs; the earlier and longer of a kind stands.
+
+    A run that holds an assigned value (``name=value`` without blanks) gives way to it.
+    """
+    kinds = [[m.span() for m in _PRIVATE.finditer(text)] if "-----BEGIN" in text else [], [m.span(1) for m in _ASSIGNED.finditer(text)], []]
+    for m in _RUN.finditer(text):
+        value = m.group()
+        if any(c in value for c in "0123456789") or len(_CHANGE.findall(value)) >= 4:
+            kinds[2].append(m.span())
     out: list[tuple[int, int]] = []
-    for s, e in sorted(set(spans), key=lambda x: (x[0], -x[1])):
-        if not out or s >= out[-1][1]:
-            out.append((s, e))
+    for found in kinds:
+        for s, e in found:
+            i = bisect_left(out, (s, e))
+            if not (i and out[i - 1][1] > s or i < len(out) and out[i][0] < e):
+                out.insert(i, (s, e))
     return out
 
 
@@ -103,23 +141,25 @@ def labelled_findings(n: int = FINDINGS, seed: int = 3) -> list[tuple[str, str,
     for i in range(n):
         path, quote = pick(paths), pick(['"', "'", ""])
         if i % 2:
-            kind = int(rng.integers(7))
+            kind = int(rng.integers(9))
             value = [
                 lambda: chars(hexa, int(pick([32, 40, 40, 40, 48, 64]))),
                 lambda: "AKIA" + chars(string.ascii_uppercase + string.digits, 16),
                 lambda: pick(["ghp_", "glpat-", "sk_live_", "xoxb-"]) + chars(alnum, int(rng.integers(20, 40))),
                 lambda: "eyJ" + chars(b64[:62], int(rng.integers(30, 120))),
                 lambda: chars(b64, int(rng.integers(20, 60))) + pick(["", "=", "=="]),
-                lambda: "-----BEGIN RSA PRIVATE KEY-----\n" + chars(b64, 300) + "\n-----END RSA PRIVATE KEY-----",
+                lambda: "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(chars(b64, 64) for _ in range(int(pick([2, 5, 12, 40])))) + pick(["", "\n-----END RSA PRIVATE KEY-----"]),
                 lambda: chars(alnum + "!@#$%^&*", int(rng.integers(8, 20))),
+                lambda: chars(string.ascii_letters, int(rng.integers(32, 64))),
+                lambda: chars(alnum, int(pick([24, 32, 36, 40, 64]))),
             ][kind]()
             name = pick(["token", "api_key", "secret", "password", "auth_token", "access_key", "SECRET_KEY", "apikey", "client_secret"])
-            if kind in (1, 2, 3, 5) and rng.random() < 0.4:
+            if kind == 5 or kind in (1, 2, 3, 7, 8) and rng.random() < 0.4:
                 before, after = prose(), " " + prose()
             else:
                 before, after = f"{prose()}{name}{pick([' = ', '=', ': ', '=> '])}{quote}", quote + pick(["\n", " ", " " + prose()])
         else:
-            kind = int(rng.integers(9))
+            kind = int(rng.integers(11))
             value = [
                 lambda: chars("0123456789", int(rng.integers(16, 24))),
                 lambda: "-".join(chars(hexa, k) for k in (8, 4, 4, 4, 12)),
@@ -130,6 +170,8 @@ def labelled_findings(n: int = FINDINGS, seed: int = 3) -> list[tuple[str, str,
                 lambda: "/".join(pick(_WORDS) for _ in range(4)) + chars("0123456789", 1),
                 lambda: chars("aeiourtnslch", int(rng.integers(14, 24))) + chars("0123456789", 2),
                 lambda: pick(["true", "none-given", "required", "<token>", "${TOKEN}", "process.env", "undefined", "example", "changeme", "optional,", "string", "function()"]) + pick(["", "()", "."]),
+                lambda: "".join(pick(_WORDS).capitalize() for _ in range(int(rng.integers(5, 9)))),
+                lambda: pick("abxz0-=_") * int(rng.integers(20, 300)) + pick(["", "1", "9"]),
             ][kind]()
             if kind == 2 or rng.random() < 0.3:
                 before, after = f"{prose()}{pick(['sha256', 'commit', 'checksum', 'md5', 'etag', 'revision', 'digest', 'build'])}{pick([' ', ': ', '='])}", " " + prose()
@@ -190,30 +232,51 @@ class Forest:
         return total / max(1, len(self.feature))
 
 
-def train(findings: list[tuple[str, str, str, str, int]], **options) -> Forest:
-    x = np.array([features(*f[:4]) for f in findings or [("", "x", "", "", 0)]])[: len(findings)]
-    return Forest(x, np.array([f[4] for f in findings], float), **options)
+class Judge:
+    """A forest with the dictionary that its features go by."""
+
+    def __init__(self, forest: Forest, dictionary: Dictionary):
+        self.forest, self.dictionary = forest, dictionary
+
+    def __call__(self, found: list[tuple[str, str, str, str]]) -> np.ndarray:
+        return self.forest.score(np.array([features(*f, self.dictionary) for f in found]))
 
 
-def find(text: str, path: str, forest: Forest) -> list[tuple[int, int, float]]:
+def train(findings: list | DataFrame, dictionary: Dictionary | None = None, limit: int = LABELLED, **options) -> Judge:
+    """A judge from findings (before, value, after, path, label), as rows or as a table with these columns.
+
+    Of a table at most limit rows are used, those with the smallest hashes. Nulls count as empty; findings without a value
+    or a label are left out; no findings give a judge that is undecided.
+    """
+    if isinstance(findings, DataFrame):
+        names = ["before", "value", "after", "path", "label"]
+        findings = [tuple(r) for r in findings.select(*names).orderBy(F.xxhash64(*names)).limit(limit).collect()]
+    dictionary = dictionary or Dictionary()
+    good = [(*(x or "" for x in f[:4]), f[4]) for f in findings if f[1] and f[4] is not None]
+    x = np.array([features(*f[:4], dictionary) for f in good or [("", "x", "", "", 0)]])[: len(good)]
+    return Judge(Forest(x, np.array([f[4] for f in good], float), **options), dictionary)
+
+
+def find(text: str, path: str, judge: Judge) -> list[tuple[int, int, float]]:
     """(start, end, score) of every candidate of a text, in characters."""
     spans = candidates(text)
     if not spans:
         return []
-    x = np.array([features(text[max(0, s - AROUND) : s], text[s:e], text[e : e + AROUND], path) for s, e in spans])
-    return [(s, e, float(p)) for (s, e), p in zip(spans, forest.score(x), strict=True)]
+    score = judge([(text[max(0, s - AROUND) : s], text[s:e], text[e : e + AROUND], path) for s, e in spans])
+    return [(s, e, float(p)) for (s, e), p in zip(spans, score, strict=True)]
 
 
-def scan(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, judge: Judge, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", threshold: float = THRESHOLD) -> DataFrame:
     """id, n_candidates, n_secrets, max_score, spans (start, end, score of the secrets, in characters) for each row.
 
-    A null or empty text has no candidates (max_score 0), a null path counts as none, repeated rows are scanned each, other columns
-    are ignored, and an empty table gives an empty one. No rows are shuffled.
+    A null or empty text has no candidates (max_score 0), a null path counts as none, null ids stay, repeated rows are scanned
+    each, a score of exactly the threshold is a secret, other columns are ignored, and an empty table gives an empty one. Texts
+    are scanned whole, however long, and so is every candidate. No rows are shuffled.
     """
     bounded_batches(docs.sparkSession)
-    source = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), docs[path_col].cast("string").alias("path"))
+    source = spread(docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), docs[path_col].cast("string").alias("path")))
     kind = source.schema["id"].dataType.simpleString()
-    sent = source.sparkSession.sparkContext.broadcast(forest)
+    sent = source.sparkSession.sparkContext.broadcast(judge)
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def run(batches):
@@ -232,11 +295,15 @@ def scan(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str
     return out.withColumnRenamed("id", id_col)
 
 
-def redact(docs: DataFrame, forest: Forest, text_col: str = "text", path_col: str = "source", threshold: float = THRESHOLD, mask: str = "[secret]") -> DataFrame:
-    """docs with every secret replaced by mask; rows without one, and all other columns, stay as they are."""
+def redact(docs: DataFrame, judge: Judge, text_col: str = "text", path_col: str = "source", threshold: float = THRESHOLD, mask: str = "[secret]") -> DataFrame:
+    """docs with every secret replaced by mask; rows without one, and all other columns, stay as they are.
+
+    A null text stays null, an empty one empty, a null path counts as none; repeated rows are cleaned each, names of other
+    columns are free, and an empty table gives an empty one. No rows are shuffled.
+    """
     bounded_batches(docs.sparkSession)
     at, path_at = docs.columns.index(text_col), docs.columns.index(path_col)
-    sent = docs.sparkSession.sparkContext.broadcast(forest)
+    sent = docs.sparkSession.sparkContext.broadcast(judge)
 
     def clean(text: str | None, path: str | None) -> str | None:
         if not text:
