@@ -6,7 +6,11 @@
 4. secrets: what the forest takes for a secret is replaced by a mask.
 5. packing: the texts become token pieces placed in sequences of 2048.
 
-All but the last return the columns of documents; n_chars follows a text that changes.
+All but the last return the columns of documents; n_chars follows a text that changes. Other columns, whatever their names,
+pass through. A null text, an empty one and one without a letter are rejected by the first stage, so later stages see none in
+a whole run; each takes them nevertheless, as its operator's docstring states. Rows with a null doc_id are documents of their
+own. Of rows that share a doc_id one passes the second stage (the first by text), so ties and repeated rows end there. An
+empty table gives no rows in every stage.
 """
 
 from __future__ import annotations
@@ -42,7 +46,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _measured(secrets.redact(docs, secrets.train(secrets.labelled_findings())))
+    return _measured(secrets.redact(docs, secrets.train(secrets.labelled_findings(), secrets.learn_dictionary(docs))))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,12 +66,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each written as Parquet in the shared folder and read again by the next, then removed."""
+    """The stages over documents, each written as Parquet in the shared folder and read again by the next, then removed (also on failure).
+
+    The folder of the last stage stays, as the result reads it.
+    """
     docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/{uuid.uuid4().hex}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        if last:
-            remove(spark, last)
+        try:
+            stage(spark, docs, sf_dir).write.parquet(path)
+        except BaseException:
+            remove(spark, path)
+            raise
+        finally:
+            if last:
+                remove(spark, last)
         docs, last = spark.read.parquet(path), path
     return docs
