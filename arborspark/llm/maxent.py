@@ -1,13 +1,14 @@
 """Language-model scores from a hashed maximum-entropy model with a class-factored softmax.
 
-log P(word | history) = log P(class | history) + log P(word | class). The first factor is a softmax over ``CLASSES``
-classes whose scores sum hashed features of the history: the last word, the last two, and two skips (the second and the
-third last). The ``TOP`` most frequent words and the end of a text are classes of their own; other words fall into classes
-by their endings, and within a class take their smoothed share of its training count. Weights start from the counts of
-features with classes over the whole training text, pulled towards the classes' shares as strongly as leaving one token
-out says is best, and are improved by ``ROUNDS`` synchronous distributed gradient updates: every
-chunk sums the model's expected counts over every token of every training document, the sums are added block by block and
-taken from the counts seen, and each row of weights moves by its mean gradient. Chunks are scored in numpy batches.
+log P(word | history) = log P(class | history) + log P(part | class, history) + log P(word | class, part). The ``TOP`` most
+frequent words and the end of a text are classes of their own, which end there; other words fall into ``KINDS`` classes by
+their endings, and those into ``PARTS`` parts by a hash. The first two factors are softmaxes whose scores sum hashed features
+of the history: the last word, the last two, and skips (the second and the third last), for parts together with the class.
+Within a part a word takes its smoothed share of the training count. Weights start from the counts of features with outcomes
+over the whole training text, pulled towards the outcomes' shares as strongly as leaving one token out says is best, and are
+improved by ``ROUNDS`` synchronous distributed gradient updates: every chunk sums the model's expected counts over every
+token of every training document, the sums are added block by block and taken from the counts seen, and each row of weights
+moves by its mean gradient. Chunks are scored in numpy batches.
 
 Counts are exact, over all training documents. A chunk names each of its distinct words once (by a 64-bit hash) with its
 training count, dealt by ranges of the hash; what comes back is the total count of each.
@@ -24,14 +25,17 @@ from pyspark.sql import DataFrame
 
 from .common import LOWER, SPACE_SEPARATED, Words, bounded_batches, cut, mix, one_by_one, packed, slices, text_bytes, unpacked
 
-CLASSES, TOP, TEMPLATES, ROWS, BLOCK_ROWS = 64, 47, 4, 4096, 128
-ROUNDS, RATE, START, CHUNK_BYTES, BATCH, STEP = 2, 0.7, 0.35, 8 << 20, 1 << 15, 1 << 13
+CLASSES, TOP, PARTS, TEMPLATES, ROWS, BLOCK_ROWS = 64, 47, 64, 4, 4096, 128
+KINDS = CLASSES - TOP - 1
+ROUNDS, RATE, START, CHUNK_BYTES, BATCH = 2, 0.7, 0.35, 8 << 20, 1 << 12
+#: Weights stay within this, so that exponentials of their sums stay in range.
+LARGEST = 12.0
 PRIORS = (5.0, 20.0, 80.0, 320.0, 1280.0, 5120.0, 1e5, 1e9)
 _END, _BEGIN = np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CAA73B)
 
 
 class Tokens:
-    """Tokens of several texts, each ended by one end: hash, class by ending, document, place of each text's end."""
+    """Tokens of several texts, each ended by one end: hash, cell (kind by ending, and part), document, place of each text's end."""
 
     def __init__(self, raw: list[bytes]):
         w = Words([t.translate(LOWER) for t in raw], SPACE_SEPARATED)
@@ -44,20 +48,33 @@ class Tokens:
         self.hash[word] = w.hash[0]
         last = w.buf[w.end - 1].astype(np.uint32)
         before = np.where(w.end - w.start > 1, w.buf[np.maximum(w.end - 2, 0)], 0).astype(np.uint32)
-        self.ending = np.zeros(total, np.uint8)
-        self.ending[word] = ((last * np.uint32(0x9E3779B1) + before * np.uint32(0x85EBCA6B)) >> np.uint32(16)) % np.uint32(CLASSES - TOP - 1)
+        kind = ((last * np.uint32(0x9E3779B1) + before * np.uint32(0x85EBCA6B)) >> np.uint32(16)) % np.uint32(KINDS)
+        self.cell = np.zeros(total, np.uint16)
+        self.cell[word] = kind * np.uint32(PARTS) + ((w.hash[0] >> np.uint64(7)) % np.uint64(PARTS)).astype(np.uint32)
         self.doc = np.repeat(np.arange(n, dtype=np.int32), w.count + 1)
 
-    def history(self) -> list[np.ndarray]:
-        """Feature rows of each token, by template."""
+    def features(self) -> list[np.ndarray]:
+        """What the templates look at, for each token: the last word, the last two, the second last, the third last."""
         back = []
         for k in (1, 2, 3):
             h = np.concatenate([np.full(k, _BEGIN), self.hash])[: len(self.hash)]
             crossed = np.concatenate([np.full(k, -1), self.doc])[: len(self.hash)] != self.doc
             h[crossed] = _BEGIN
             back.append(h)
-        pair = mix(back[0] + np.uint64(3) * back[1])
-        return [(mix(x ^ np.uint64(t + 1)) >> np.uint64(52)).astype(np.int64) for t, x in enumerate((back[0], pair, back[1], back[2]))]
+        return [back[0], mix(back[0] + np.uint64(3) * back[1]), back[1], back[2]]
+
+    def rows(self, on: np.ndarray, cls: np.ndarray) -> list[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+        """For both factors: rows of weights by template, outcomes, and which tokens they are for (of those that are on)."""
+        seen, first = self.features(), np.flatnonzero(on)
+        second = first[cls[first] > TOP]
+        salt = mix(cls[second].astype(np.uint64) + np.uint64(101))
+        a = [_row(x[first], t) for t, x in enumerate(seen)]
+        b = [*(_row(x[second] ^ salt, TEMPLATES + t) for t, x in enumerate(seen[:-1])), _row(salt, 2 * TEMPLATES)]  # the last: the class alone
+        return [(a, cls[first], first), (b, (self.cell[second] % PARTS).astype(np.int64), second)]
+
+
+def _row(x: np.ndarray, template: int) -> np.ndarray:
+    return (mix(x ^ np.uint64(template + 1)) >> np.uint64(52)).astype(np.int64)
 
 
 class Classes:
@@ -67,7 +84,7 @@ class Classes:
         self.hash = np.array(sorted(top), np.uint64)
 
     def __call__(self, t: Tokens) -> np.ndarray:
-        out = t.ending.astype(np.int64) + TOP + 1
+        out = (t.cell // PARTS).astype(np.int64) + TOP + 1
         if len(self.hash):
             at = np.minimum(np.searchsorted(self.hash, t.hash), len(self.hash) - 1)
             hit = self.hash[at] == t.hash
@@ -81,28 +98,47 @@ def remainder(value, n: int) -> int:
     return 0 if value is None else zlib.crc32(str(value).encode()) % n
 
 
-def log_softmax(bias: np.ndarray, weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    z = weights[0][rows[0]] + bias
+_ONES = np.ones(CLASSES, np.float32)
+
+
+def _scores(weights: np.ndarray, rows: list[np.ndarray], z: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """Sums of the weights in the rows of all templates, in z; more is room of the same shape."""
+    np.take(weights[0], rows[0], axis=0, out=z, mode="clip")
     for t in range(1, TEMPLATES):
-        z += weights[t][rows[t]]
-    z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
+        np.take(weights[t], rows[t], axis=0, out=more, mode="clip")
+        z += more
     return z
 
 
-def expect(out: np.ndarray, bias: np.ndarray, weights: np.ndarray, rows: list[np.ndarray]) -> None:
-    """Adds to out (template, class, row) the counts of features with classes that the model expects for these histories; equal histories are worked out once."""
+def log_chances(weights: np.ndarray, rows: list[np.ndarray], outcome: np.ndarray) -> np.ndarray:
+    """Natural logarithm of the softmax of each outcome; weights include the bias."""
+    out, room = np.zeros(len(outcome)), np.empty((2, BATCH, CLASSES), np.float32)
+    for at in range(0, len(outcome), BATCH):
+        o = outcome[at : at + BATCH]
+        z = _scores(weights, [r[at : at + BATCH] for r in rows], room[0, : len(o)], room[1, : len(o)])
+        out[at : at + BATCH] = z[np.arange(len(o)), o]
+        out[at : at + BATCH] -= np.log(np.exp(z, out=z) @ _ONES)
+    return out
+
+
+def expect(out: np.ndarray, weights: np.ndarray, rows: list[np.ndarray]) -> None:
+    """Adds to out (template, outcome, row) the counts of features with outcomes that the model expects; equal histories are worked out once.
+
+    All arrays of a batch stay small enough for a core's cache. A sum for each outcome over the rows of a template is one
+    pass over contiguous numbers.
+    """
     bits = ROWS.bit_length() - 1
     key = rows[0]
     for r in rows[1:]:
         key = key << bits | r
     key, times = np.unique(key, return_counts=True)
-    for at in range(0, len(key), STEP):
-        i = slice(at, at + STEP)
-        f = [key[i] >> bits * (TEMPLATES - 1 - k) & (ROWS - 1) for k in range(TEMPLATES)]
-        p = np.exp(log_softmax(bias, weights, f))
-        p *= times[i, None].astype(np.float32)
-        p = np.ascontiguousarray(p.T)  # a sum for each class over rows of a template is one pass over contiguous numbers
+    room, turned = np.empty((2, BATCH, CLASSES), np.float32), np.empty((CLASSES, BATCH), np.float32)
+    for at in range(0, len(key), BATCH):
+        k4 = key[at : at + BATCH]
+        n = len(k4)
+        f = [k4 >> bits * (TEMPLATES - 1 - k) & (ROWS - 1) for k in range(TEMPLATES)]
+        z = np.exp(_scores(weights, f, room[0, :n], room[1, :n]), out=room[0, :n])
+        p = np.multiply(z.T, (times[at : at + BATCH] / (z @ _ONES)).astype(np.float32), out=turned[:, :n])
         first = np.flatnonzero(np.diff(f[0], prepend=-1))  # histories are in the order of the first template's rows
         out[0][:, f[0][first]] += np.add.reduceat(p, first, axis=1)
         for k in range(1, TEMPLATES):
@@ -114,8 +150,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row.
 
     Rows whose crc32(id) % fold is not held are learned from. A null text is empty: one end token. Repeated rows are
-    scored (and learned from) each, a null id is in the training part, other columns are ignored, and an empty table
-    gives no rows. Without training rows every token is unknown and the classes are even.
+    scored (and learned from) each, a null id is in the training part, ties among the most frequent words go by their hash,
+    texts are used whole, however long, other columns are ignored, and an empty table gives no rows. Without training rows every token is unknown and the classes are even.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -132,35 +168,35 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
             yield d.column("id").slice(s, e - s), np.array([remainder(i, fold) == held for i in ids[s:e]]), Tokens(raw[s:e])
 
     def distinct(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hash, ending and training count of the distinct tokens of a chunk."""
-        found = [(x.hash, x.ending, ~out[x.doc]) for _, out, x in read(t)]
-        h, ending, train = (np.concatenate(x) for x in zip(*found, strict=True))
+        """Hash, cell and training count of the distinct tokens of a chunk."""
+        found = [(x.hash, x.cell, ~out[x.doc]) for _, out, x in read(t)]
+        h, cell, train = (np.concatenate(x) for x in zip(*found, strict=True))
         key, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        return key, ending[first], np.bincount(inverse, weights=train).astype(np.int64)
+        return key, cell[first], np.bincount(inverse, weights=train).astype(np.int64)
 
     def name(t: pa.Table) -> pa.RecordBatch:
-        key, ending, count = distinct(t)
+        key, cell, count = distinct(t)
         edge = np.append(np.searchsorted(key, bounds), len(key))
         used = np.flatnonzero(np.diff(edge))
         blob = lambda x: pa.array([x[edge[k] : edge[k + 1]].tobytes() for k in used], pa.binary())
         chunk = t.column("chunk")[0].as_py()
-        return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([chunk] * len(used), pa.int64()), blob(key), blob(ending), blob(count.astype("<u4"))], ["shard", "chunk", "keys", "endings", "counts"])
+        return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([chunk] * len(used), pa.int64()), blob(key), blob(cell), blob(count.astype("<u4"))], ["shard", "chunk", "keys", "cells", "counts"])
 
     def total(t: pa.Table) -> pa.Table:
-        """What each chunk asked for, and one row (chunk null) for the shard: distinct words, tokens, the like for each ending, the most frequent words."""
+        """What each chunk asked for, and one row (chunk null) for the shard: distinct words, tokens, the like for each cell, the most frequent words."""
         keys = [np.frombuffer(x, np.uint64) for x in t.column("keys").to_pylist()]
         counts = np.concatenate([np.frombuffer(x, "<u4") for x in t.column("counts").to_pylist()]).astype(np.int64)
-        endings = np.concatenate([np.frombuffer(x, np.uint8) for x in t.column("endings").to_pylist()])
+        cells = np.concatenate([np.frombuffer(x, np.uint16) for x in t.column("cells").to_pylist()])
         key, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-        count, ending = np.bincount(inverse, weights=counts).astype(np.int64), endings[first]
+        count, cell = np.bincount(inverse, weights=counts).astype(np.int64), cells[first]
         back = np.split(count[inverse], np.cumsum([len(k) for k in keys])[:-1])
         known, word = count > 0, key != _END
-        kinds = CLASSES - TOP - 1
-        sums = [np.bincount(ending[known & word], weights=count[known & word], minlength=kinds), np.bincount(ending[known & word], minlength=kinds)]
-        top = np.flatnonzero(known & word)
+        rare = known & word
+        sums = [np.bincount(cell[rare], weights=count[rare], minlength=KINDS * PARTS), np.bincount(cell[rare], minlength=KINDS * PARTS)]
+        top = np.flatnonzero(rare)
         top = top[np.lexsort((key[top], -count[top]))][:TOP]
         stats = np.concatenate([[known.sum(), count.sum()], *sums]).astype(np.int64)
-        best = np.stack([key[top].view(np.int64), count[top], ending[top].astype(np.int64)])
+        best = np.stack([key[top].view(np.int64), count[top], cell[top].astype(np.int64)])
         return pa.table({
             "chunk": pa.array([*t.column("chunk").to_pylist(), None], pa.int64()),
             "shard": pa.array([*t.column("shard").to_pylist(), t.column("shard")[0].as_py()], pa.int32()),
@@ -172,9 +208,9 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         for t in one_by_one(batches):
             yield name(t)
 
-    named = chunks.mapInArrow(names, "shard int, chunk long, keys binary, endings binary, counts binary")
+    named = chunks.mapInArrow(names, "shard int, chunk long, keys binary, cells binary, counts binary")
     totals = cut(named.groupBy("shard").applyInArrow(total, "chunk long, shard int, counts binary, top binary"))
-    stats, best = np.zeros(2 + 2 * (CLASSES - TOP - 1), np.int64), []
+    stats, best = np.zeros(2 + 2 * KINDS * PARTS, np.int64), []
     for r in totals.where("chunk is null").select("counts", "top").toLocalIterator():
         stats += np.frombuffer(r["counts"], np.int64)
         best.append(np.frombuffer(r["top"], np.int64).reshape(3, -1))
@@ -182,15 +218,14 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
             best = [_best(best)]
     top = _best(best) if best else np.zeros((3, 0), np.int64)
     distinct_words, tokens = int(stats[0]), int(stats[1])
-    kinds = CLASSES - TOP - 1
-    n_class, v_class = stats[2 : 2 + kinds].astype(float), stats[2 + kinds :].astype(float)
-    np.subtract.at(n_class, top[2], top[1])
-    np.subtract.at(v_class, top[2], 1)
+    n_cell, v_cell = stats[2 : 2 + KINDS * PARTS].astype(float), stats[2 + KINDS * PARTS :].astype(float)
+    np.subtract.at(n_cell, top[2], top[1])
+    np.subtract.at(v_cell, top[2], 1)
     classes = Classes(top[0].view(np.uint64).tolist())
-    within = np.log10(n_class + v_class + 1)
+    within = np.log10(n_cell + v_cell + 1)
 
-    def summed(part, width: int) -> np.ndarray:
-        """The sum over all chunks of an array that part() makes of each, by blocks."""
+    def summed(part) -> np.ndarray:
+        """The sum over all chunks of an array (both factors' templates, rows, outcomes) that part() makes of each, by blocks."""
 
         def run(batches):
             acc = None
@@ -198,7 +233,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
                 got = part(t)
                 acc = got if acc is None else acc + got
             if acc is not None:
-                parts = acc.reshape(-1, BLOCK_ROWS, width)
+                parts = acc.reshape(-1, BLOCK_ROWS, CLASSES)
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], ["block", "sums"])
 
         def add(batches):
@@ -209,42 +244,37 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
                     state[k] = state[k] + v if k in state else v
             yield pa.RecordBatch.from_arrays([pa.array(list(state), pa.int32()), pa.array([x.tobytes() for x in state.values()], pa.binary())], ["block", "sums"])
 
-        out = np.zeros((TEMPLATES * ROWS // BLOCK_ROWS, BLOCK_ROWS * width))
+        out = np.zeros((2 * TEMPLATES * ROWS // BLOCK_ROWS, BLOCK_ROWS * CLASSES))
         for r in chunks.mapInArrow(run, "block int, sums binary").repartition("block").mapInArrow(add, "block int, sums binary").toLocalIterator():
             out[r["block"]] = np.frombuffer(r["sums"])
-        return out.reshape(TEMPLATES, ROWS, width)
+        return out.reshape(2, TEMPLATES, ROWS, CLASSES)
 
     def together(t: pa.Table) -> np.ndarray:
-        out = np.zeros((TEMPLATES, ROWS * CLASSES), np.int64)
+        out = np.zeros((2, TEMPLATES, ROWS * CLASSES), np.int64)
         for _, away, x in read(t):
-            c, on = classes(x), ~away[x.doc]
-            for k, row in enumerate(x.history()):
-                out[k] += np.bincount(row[on] * CLASSES + c[on], minlength=ROWS * CLASSES)
+            for factor, (rows, outcome, _) in zip(out, x.rows(~away[x.doc], classes(x)), strict=True):
+                for k, row in enumerate(rows):
+                    factor[k] += np.bincount(row * CLASSES + outcome, minlength=ROWS * CLASSES)
         return out.astype(np.float32)
 
-    seen = summed(together, CLASSES)
-    prior = (seen[0].sum(0) + 1) / (seen[0].sum() + CLASSES)
-    each = seen.sum(2, keepdims=True)
-    bias = np.log(prior).astype(np.float32)
-    pull = prior_strength(seen, prior)
-    weights = (START * (np.log((seen + pull * prior) / (each + pull)) - np.log(prior))).astype(np.float32)
-
+    seen = summed(together)
+    factors = [Factor(x) for x in seen]
     for _ in range(rounds):
-        sent = spark.sparkContext.broadcast((bias, weights))
+        sent = spark.sparkContext.broadcast([f.weights for f in factors])
 
         def expected(t: pa.Table, sent=sent) -> np.ndarray:
-            out = np.zeros((TEMPLATES, CLASSES, ROWS), np.float32)
+            out = np.zeros((2, TEMPLATES, CLASSES, ROWS), np.float32)
             for _, away, x in read(t):
-                expect(out, *sent.value, [r[~away[x.doc]] for r in x.history()])
-            return np.ascontiguousarray(out.transpose(0, 2, 1))
+                for factor, weights, (rows, _, _) in zip(out, sent.value, x.rows(~away[x.doc], classes(x)), strict=True):
+                    expect(factor, weights, rows)
+            return np.ascontiguousarray(out.transpose(0, 1, 3, 2))
 
-        mean = (seen - summed(expected, CLASSES)) / (each + pull)
-        weights = (weights + RATE * mean / np.sqrt(prior * (1 - prior) + 1e-4)).astype(np.float32)
-    sent = spark.sparkContext.broadcast((bias, weights))
+        for factor, sums in zip(factors, summed(expected), strict=True):
+            factor.update(sums)
+    sent = spark.sparkContext.broadcast([f.weights for f in factors])
     scale = math.log10(tokens + distinct_words + 1)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        bias, weights = sent.value
         parts = list(read(left))
         key = np.unique(np.concatenate([x.hash for _, _, x in parts]))
         edge = np.append(np.searchsorted(key, bounds), len(key))
@@ -256,15 +286,11 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         for ids, away, x in parts:
             n = len(away)
             c = count[np.searchsorted(key, x.hash)]
-            cls = classes(x)
-            logp = np.zeros(len(c))
-            rows = x.history()
-            for at in range(0, len(c), BATCH):
-                i = slice(at, at + BATCH)
-                z = log_softmax(bias, weights, [r[i] for r in rows])
-                logp[i] = z[np.arange(len(z)), cls[i]] / math.log(10)
+            cls, logp = classes(x), np.zeros(len(c))
+            for weights, (rows, outcome, of) in zip(sent.value, x.rows(np.ones(len(c), bool), cls), strict=True):
+                logp[of] += log_chances(weights, rows, outcome) / math.log(10)
             rare = cls > TOP
-            logp[rare] += np.log10(c[rare] + 1) - within[cls[rare] - TOP - 1]
+            logp[rare] += np.log10(c[rare] + 1) - within[x.cell[rare]]
             base = np.log10(c + 1) - scale
             sums = [np.bincount(x.doc, weights=v, minlength=n) for v in (np.ones(len(c)), c > 0, base, logp)]
             out.append(pa.table({
@@ -278,6 +304,26 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     return out.withColumnRenamed("id", id_col)
 
 
+class Factor:
+    """Weights of one softmax: those of the first template include the bias, the logarithm of the outcomes' shares."""
+
+    def __init__(self, seen: np.ndarray):
+        self.seen, self.each = seen, seen.sum(2, keepdims=True)
+        self.prior = (seen[0].sum(0) + 1) / (seen[0].sum() + CLASSES)
+        self.pull = prior_strength(seen, self.prior)
+        self._set(START * (np.log((seen + self.pull * self.prior) / (self.each + self.pull)) - np.log(self.prior)))
+
+    def _set(self, raw: np.ndarray) -> None:
+        self.raw = np.clip(raw, -LARGEST, LARGEST)
+        self.weights = self.raw.astype(np.float32)
+        self.weights[0] += np.log(self.prior).astype(np.float32)
+
+    def update(self, expected: np.ndarray) -> None:
+        """One step along the mean gradient of each row."""
+        mean = (self.seen - expected) / (self.each + self.pull)
+        self._set(self.raw + RATE * mean / np.sqrt(self.prior * (1 - self.prior) + 1e-4))
+
+
 def prior_strength(seen: np.ndarray, prior: np.ndarray) -> np.ndarray:
     """For each template, the number of prior counts under which its counts best predict each token from all the others."""
     out = []

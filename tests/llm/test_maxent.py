@@ -58,21 +58,35 @@ def test_every_training_token_gives_a_gradient_in_every_round(case):
     key, first, count = np.unique(t.hash[on], return_index=True, return_counts=True)
     word = key != t.hash[t.end[0]]
     top = sorted(zip(-count[word], key[word].view(np.int64).tolist(), strict=True))[: maxent.TOP]
-    cls, rows = maxent.Classes([k % 2**64 for _, k in top])(t), t.history()
-    seen = np.zeros((maxent.TEMPLATES, maxent.ROWS, maxent.CLASSES))
-    for k, r in enumerate(rows):
-        np.add.at(seen[k], (r[on], cls[on]), 1)
-    prior = (seen[0].sum(0) + 1) / (seen[0].sum() + maxent.CLASSES)
-    each, bias, pull = seen.sum(2, keepdims=True), np.log(prior), maxent.prior_strength(seen, prior)
-    weights = maxent.START * (np.log((seen + pull * prior) / (each + pull)) - np.log(prior))
-    for _ in range(2):
-        p, sums = np.exp(maxent.log_softmax(bias, weights, [r[on] for r in rows])), np.zeros_like(seen)
-        for k, r in enumerate(rows):
-            np.add.at(sums[k], r[on], p)
-        weights = weights + maxent.RATE * (seen - sums) / (each + pull) / np.sqrt(prior * (1 - prior) + 1e-4)
-    logp = maxent.log_softmax(bias, weights, rows)[np.arange(len(cls)), cls] / math.log(10)
-    number, words = Counter(t.hash[on].tolist()), Counter(cls[on][first].tolist())
-    total = Counter(cls[on].tolist())
-    rare = [math.log10((number[h] + 1) / (total[c] + words[c] + 1)) if c > maxent.TOP else 0 for h, c in zip(t.hash.tolist(), cls.tolist(), strict=True)]
-    want = np.bincount(t.doc, weights=logp + rare)
-    assert [got[i]["score"] for i in range(len(raw))] == pytest.approx(want.tolist(), rel=1e-3)
+    cls = maxent.Classes([k % 2**64 for _, k in top])(t)
+    want = np.zeros(len(cls))
+    for (rows, outcome, of), (train, seen_outcome, _) in zip(t.rows(np.ones(len(cls), bool), cls), t.rows(on, cls), strict=True):
+        seen = np.zeros((maxent.TEMPLATES, maxent.ROWS, maxent.CLASSES))
+        for k, r in enumerate(train):
+            np.add.at(seen[k], (r, seen_outcome), 1)
+        prior = (seen[0].sum(0) + 1) / (seen[0].sum() + maxent.CLASSES)
+        each, pull = seen.sum(2, keepdims=True), maxent.prior_strength(seen, prior)
+        weights = maxent.START * (np.log((seen + pull * prior) / (each + pull)) - np.log(prior))
+
+        def chances(weights, rows, prior=prior):
+            z = np.log(prior) + sum(weights[k][r] for k, r in enumerate(rows))
+            return z - np.log(np.exp(z).sum(1, keepdims=True))
+
+        for _ in range(2):
+            p, sums = np.exp(chances(weights, train)), np.zeros_like(seen)
+            for k, r in enumerate(train):
+                np.add.at(sums[k], r, p)
+            weights = weights + maxent.RATE * (seen - sums) / (each + pull) / np.sqrt(prior * (1 - prior) + 1e-4)
+        want[of] += chances(weights, rows)[np.arange(len(of)), outcome] / math.log(10)
+    number, rare = Counter(t.hash[on].tolist()), cls > maxent.TOP
+    total, words = Counter(t.cell[on & rare].tolist()), Counter(t.cell[on][first][cls[on][first] > maxent.TOP].tolist())
+    want += [math.log10((number[h] + 1) / (total[c] + words[c] + 1)) if r else 0 for h, c, r in zip(t.hash.tolist(), t.cell.tolist(), rare.tolist(), strict=True)]
+    assert [got[i]["score"] for i in range(len(raw))] == pytest.approx(np.bincount(t.doc, weights=want).tolist(), rel=1e-3)
+
+
+def test_chances_sum_to_one():
+    """Over all classes and, in each, all parts, whatever the weights."""
+    rng = np.random.default_rng(3)
+    weights = rng.normal(size=(maxent.TEMPLATES, maxent.ROWS, maxent.CLASSES)).astype(np.float32)
+    rows = [np.full(maxent.CLASSES, r) for r in rng.integers(0, maxent.ROWS, maxent.TEMPLATES)]
+    assert np.exp(maxent.log_chances(weights, rows, np.arange(maxent.CLASSES))).sum() == pytest.approx(1, rel=1e-5)
