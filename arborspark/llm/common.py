@@ -95,8 +95,11 @@ def join_hot(many: DataFrame, one: DataFrame, key: str, how: str = "inner") -> D
 def bounded_batches(spark: SparkSession) -> None:
     """Smaller Arrow batches than Spark's defaults, by rows and by bytes, where the session has not chosen others.
 
-    Texts are long, and a batch is held several times over (in the JVM, on its way, and in the worker).
+    Texts are long, and a batch is held several times over (in the JVM, on its way, and in the worker). Workers get one
+    numeric thread each, unless the session says otherwise: tasks fill the cores, and more threads would only wait for them.
     """
+    spark.sparkContext.environment.setdefault("OMP_NUM_THREADS", "1")
+    spark.sparkContext.environment.setdefault("OPENBLAS_NUM_THREADS", "1")
     for key, default, ours in (("maxRecordsPerBatch", "10000", "2000"), ("maxBytesPerBatch", str(1 << 28), str(4 << 20))):
         key = f"spark.sql.execution.arrow.{key}"
         if spark.conf.get(key, default).lower().removesuffix("b") in (default, "256m", "-1"):

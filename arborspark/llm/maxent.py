@@ -22,12 +22,15 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import LOWER, SPACE_SEPARATED, Words, bounded_batches, cut, mix, one_by_one, packed, slices, text_bytes, unpacked
 
 CLASSES, TOP, PARTS, TEMPLATES, ROWS, BLOCK_ROWS = 64, 47, 64, 4, 4096, 128
 KINDS = CLASSES - TOP - 1
 ROUNDS, RATE, START, CHUNK_BYTES, BATCH = 2, 0.7, 0.35, 8 << 20, 1 << 12
+#: Packed bytes of a task whose result is one array of 8 MB.
+TASK_BYTES = 16 << 20
 #: Weights stay within this, so that exponentials of their sums stay in range.
 LARGEST = 12.0
 PRIORS = (5.0, 20.0, 80.0, 320.0, 1280.0, 5120.0, 1e5, 1e9)
@@ -98,9 +101,6 @@ def remainder(value, n: int) -> int:
     return 0 if value is None else zlib.crc32(str(value).encode()) % n
 
 
-_ONES = np.ones(CLASSES, np.float32)
-
-
 def _scores(weights: np.ndarray, rows: list[np.ndarray], z: np.ndarray, more: np.ndarray) -> np.ndarray:
     """Sums of the weights in the rows of all templates, in z; more is room of the same shape."""
     np.take(weights[0], rows[0], axis=0, out=z, mode="clip")
@@ -117,28 +117,33 @@ def log_chances(weights: np.ndarray, rows: list[np.ndarray], outcome: np.ndarray
         o = outcome[at : at + BATCH]
         z = _scores(weights, [r[at : at + BATCH] for r in rows], room[0, : len(o)], room[1, : len(o)])
         out[at : at + BATCH] = z[np.arange(len(o)), o]
-        out[at : at + BATCH] -= np.log(np.exp(z, out=z) @ _ONES)
+        out[at : at + BATCH] -= np.log(np.einsum("ij->i", np.exp(z, out=z)))
     return out
 
 
-def expect(out: np.ndarray, weights: np.ndarray, rows: list[np.ndarray]) -> None:
+def histories(rows: list[np.ndarray]) -> np.ndarray:
+    """The rows of all templates as one number."""
+    bits, key = ROWS.bit_length() - 1, rows[0]
+    for r in rows[1:]:
+        key = key << bits | r
+    return key
+
+
+def expect(out: np.ndarray, weights: np.ndarray, keys: list[np.ndarray]) -> None:
     """Adds to out (template, outcome, row) the counts of features with outcomes that the model expects; equal histories are worked out once.
 
-    All arrays of a batch stay small enough for a core's cache. A sum for each outcome over the rows of a template is one
-    pass over contiguous numbers.
+    All arrays of a batch stay small enough for a core's cache, and nothing in it starts threads. A sum for each outcome over
+    the rows of a template is one pass over contiguous numbers.
     """
     bits = ROWS.bit_length() - 1
-    key = rows[0]
-    for r in rows[1:]:
-        key = key << bits | r
-    key, times = np.unique(key, return_counts=True)
+    key, times = np.unique(np.concatenate(keys), return_counts=True)
     room, turned = np.empty((2, BATCH, CLASSES), np.float32), np.empty((CLASSES, BATCH), np.float32)
     for at in range(0, len(key), BATCH):
         k4 = key[at : at + BATCH]
         n = len(k4)
         f = [k4 >> bits * (TEMPLATES - 1 - k) & (ROWS - 1) for k in range(TEMPLATES)]
         z = np.exp(_scores(weights, f, room[0, :n], room[1, :n]), out=room[0, :n])
-        p = np.multiply(z.T, (times[at : at + BATCH] / (z @ _ONES)).astype(np.float32), out=turned[:, :n])
+        p = np.multiply(z.T, (times[at : at + BATCH] / np.einsum("ij->i", z)).astype(np.float32), out=turned[:, :n])
         first = np.flatnonzero(np.diff(f[0], prepend=-1))  # histories are in the order of the first template's rows
         out[0][:, f[0][first]] += np.add.reduceat(p, first, axis=1)
         for k in range(1, TEMPLATES):
@@ -225,7 +230,10 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     within = np.log10(n_cell + v_cell + 1)
 
     def summed(part) -> np.ndarray:
-        """The sum over all chunks of an array (both factors' templates, rows, outcomes) that part() makes of each, by blocks."""
+        """The sum over all chunks of an array (both factors' templates, rows, outcomes) that part() makes of each, by blocks.
+
+        A task sends one array, so tasks take TASK_BYTES of packed chunks where there are enough for all cores.
+        """
 
         def run(batches):
             acc = None
@@ -244,8 +252,10 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
                     state[k] = state[k] + v if k in state else v
             yield pa.RecordBatch.from_arrays([pa.array(list(state), pa.int32()), pa.array([x.tobytes() for x in state.values()], pa.binary())], ["block", "sums"])
 
+        bytes_of = chunks.agg(F.sum(F.octet_length("blob"))).first()[0] or 0
+        few = max(spark.sparkContext.defaultParallelism, math.ceil(bytes_of / TASK_BYTES))
         out = np.zeros((2 * TEMPLATES * ROWS // BLOCK_ROWS, BLOCK_ROWS * CLASSES))
-        for r in chunks.mapInArrow(run, "block int, sums binary").repartition("block").mapInArrow(add, "block int, sums binary").toLocalIterator():
+        for r in chunks.coalesce(few).mapInArrow(run, "block int, sums binary").repartition("block").mapInArrow(add, "block int, sums binary").toLocalIterator():
             out[r["block"]] = np.frombuffer(r["sums"])
         return out.reshape(2, TEMPLATES, ROWS, CLASSES)
 
@@ -264,9 +274,9 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
 
         def expected(t: pa.Table, sent=sent) -> np.ndarray:
             out = np.zeros((2, TEMPLATES, CLASSES, ROWS), np.float32)
-            for _, away, x in read(t):
-                for factor, weights, (rows, _, _) in zip(out, sent.value, x.rows(~away[x.doc], classes(x)), strict=True):
-                    expect(factor, weights, rows)
+            keys = [[histories(rows) for rows, _, _ in x.rows(~away[x.doc], classes(x))] for _, away, x in read(t)]
+            for factor, weights, found in zip(out, sent.value, zip(*keys, strict=True), strict=True):
+                expect(factor, weights, found)
             return np.ascontiguousarray(out.transpose(0, 1, 3, 2))
 
         for factor, sums in zip(factors, summed(expected), strict=True):
