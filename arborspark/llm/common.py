@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -231,10 +231,19 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 # --- chunks of documents in one row -----------------------------------------------------------------------------------
 
 
-def packed(docs: DataFrame, chunk_bytes: int) -> DataFrame:
+def ipc(t: pa.Table) -> bytes:
+    """A table as a compressed Arrow stream."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(t)
+    return sink.getvalue().to_pybytes()
+
+
+def packed(docs: DataFrame, chunk_bytes: int, encode: Callable[[pa.Table], bytes] = ipc) -> DataFrame:
     """(chunk, blob): the rows of docs in their order, about chunk_bytes to a row, compressed, in a written table; nothing is shuffled.
 
-    A chunk is numbered by the task that made it and its place there, so chunks of equal rows are chunks of their own.
+    A chunk is numbered by the task that made it and its place there, so chunks of equal rows are chunks of their own. What
+    is stored of its rows is up to encode.
     """
 
     def run(batches):
@@ -243,11 +252,7 @@ def packed(docs: DataFrame, chunk_bytes: int) -> DataFrame:
         def blob():
             nonlocal made
             made += 1
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                for x in held:
-                    w.write_batch(x)
-            raw = sink.getvalue().to_pybytes()
+            raw = encode(pa.Table.from_batches(held))
             return pa.RecordBatch.from_arrays([pa.array([made], pa.int64()), pa.array([raw], pa.binary())], ["chunk", "blob"])
 
         for b in batches:

@@ -10,7 +10,8 @@ improved by ``ROUNDS`` synchronous distributed gradient updates: every chunk sum
 token of every training document, the sums are added block by block and taken from the counts seen, and each row of weights
 moves by its mean gradient. Chunks are scored in numpy batches.
 
-Counts are exact, over all training documents. A chunk names each of its distinct words once (by a 64-bit hash) with its
+Texts are split once: a written chunk holds its distinct words and, for each token, which of them it is, and all passes read
+that. Counts are exact, over all training documents. A chunk names each of its distinct words once (by a 64-bit hash) with its
 training count, dealt by ranges of the hash; what comes back is the total count of each.
 """
 
@@ -18,17 +19,18 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE_SEPARATED, Words, bounded_batches, cut, mix, one_by_one, packed, slices, text_bytes, unpacked
+from .common import LOWER, SPACE_SEPARATED, Words, bounded_batches, cut, ipc, mix, one_by_one, packed, slices, text_bytes
 
 CLASSES, TOP, PARTS, TEMPLATES, ROWS, BLOCK_ROWS = 64, 47, 64, 4, 4096, 128
 KINDS = CLASSES - TOP - 1
-ROUNDS, RATE, START, CHUNK_BYTES, BATCH = 2, 0.7, 0.35, 8 << 20, 1 << 12
+ROUNDS, RATE, START, CHUNK_BYTES, BATCH, ADDED = 2, 0.7, 0.35, 8 << 20, 1 << 10, 1 << 14
 #: Packed bytes of a task whose result is one array of 8 MB.
 TASK_BYTES = 16 << 20
 #: Weights stay within this, so that exponentials of their sums stay in range.
@@ -37,24 +39,27 @@ PRIORS = (5.0, 20.0, 80.0, 320.0, 1280.0, 5120.0, 1e5, 1e9)
 _END, _BEGIN = np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CAA73B)
 
 
+def split(raw: list[bytes]) -> "Tokens":
+    """Tokens of several texts, each ended by one end."""
+    w = Words([t.translate(LOWER) for t in raw], SPACE_SEPARATED)
+    end = np.cumsum(w.count + 1) - 1
+    word = np.ones(len(w.start) + len(raw), bool)
+    word[end] = False
+    tokens = Tokens(np.full(len(word), _END), np.zeros(len(word), np.uint16), end)
+    tokens.hash[word] = w.hash[0]
+    last = w.buf[w.end - 1].astype(np.uint32)
+    before = np.where(w.end - w.start > 1, w.buf[np.maximum(w.end - 2, 0)], 0).astype(np.uint32)
+    kind = ((last * np.uint32(0x9E3779B1) + before * np.uint32(0x85EBCA6B)) >> np.uint32(16)) % np.uint32(KINDS)
+    tokens.cell[word] = kind * np.uint32(PARTS) + ((w.hash[0] >> np.uint64(7)) % np.uint64(PARTS)).astype(np.uint32)
+    return tokens
+
+
 class Tokens:
-    """Tokens of several texts, each ended by one end: hash, cell (kind by ending, and part), document, place of each text's end."""
-
-    def __init__(self, raw: list[bytes]):
-        w = Words([t.translate(LOWER) for t in raw], SPACE_SEPARATED)
-        n = len(raw)
-        self.end = np.cumsum(w.count + 1) - 1
-        total = len(w.start) + n
-        word = np.ones(total, bool)
-        word[self.end] = False
-        self.hash = np.full(total, _END)
-        self.hash[word] = w.hash[0]
-        last = w.buf[w.end - 1].astype(np.uint32)
-        before = np.where(w.end - w.start > 1, w.buf[np.maximum(w.end - 2, 0)], 0).astype(np.uint32)
-        kind = ((last * np.uint32(0x9E3779B1) + before * np.uint32(0x85EBCA6B)) >> np.uint32(16)) % np.uint32(KINDS)
-        self.cell = np.zeros(total, np.uint16)
-        self.cell[word] = kind * np.uint32(PARTS) + ((w.hash[0] >> np.uint64(7)) % np.uint64(PARTS)).astype(np.uint32)
-        self.doc = np.repeat(np.arange(n, dtype=np.int32), w.count + 1)
+    """Hash, cell (kind by ending, and part) and text of each token, and the place of each text's end."""
+
+    def __init__(self, hash: np.ndarray, cell: np.ndarray, end: np.ndarray):
+        self.hash, self.cell, self.end = hash, cell, end
+        self.doc = np.repeat(np.arange(len(end), dtype=np.int32), np.diff(end, prepend=-1))
 
     def features(self) -> list[np.ndarray]:
         """What the templates look at, for each token: the last word, the last two, the second last, the third last."""
@@ -86,16 +91,55 @@ class Classes:
     def __init__(self, top: list[int]):
         self.hash = np.array(sorted(top), np.uint64)
 
-    def __call__(self, t: Tokens) -> np.ndarray:
-        out = (t.cell // PARTS).astype(np.int64) + TOP + 1
+    def __call__(self, hash: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        out = (cell // PARTS).astype(np.int64) + TOP + 1
         if len(self.hash):
-            at = np.minimum(np.searchsorted(self.hash, t.hash), len(self.hash) - 1)
-            hit = self.hash[at] == t.hash
+            at = np.minimum(np.searchsorted(self.hash, hash), len(self.hash) - 1)
+            hit = self.hash[at] == hash
             out[hit] = at[hit] + 1
-        out[t.end] = 0
+        out[hash == _END] = 0
         return out
 
 
+class Chunk:
+    """Texts as numbers of the chunk's distinct words: ids, which are held out, ends, words (hash, cell), and the word of each token."""
+
+    def __init__(self, row: pa.Table):
+        t = pa.ipc.open_stream(row.column("blob")[0].as_py()).read_all()
+        read = lambda name, kind: np.frombuffer(t.column(name)[0].as_py(), kind)
+        self.ids = t.column("ids").chunk(0).flatten()
+        self.away, self.end = read("away", bool), read("end", np.int64)
+        self.key, self.cell, self.word = read("key", np.uint64), read("cell", np.uint16), read("word", np.uint32)
+
+    @staticmethod
+    def encode(t: pa.Table, fold: int, held: int) -> bytes:
+        raw, ids = text_bytes(t.column("text")), t.column("id").combine_chunks()
+        found = [split(raw[s:e]) for s, e in slices([len(x) + 8 for x in raw])]
+        ends, at = [], 0
+        for x in found:
+            ends.append(x.end + at)
+            at += len(x.hash)
+        key, first, word = np.unique(np.concatenate([x.hash for x in found]), return_index=True, return_inverse=True)
+        cell = np.concatenate([x.cell for x in found])[first]
+        away = np.array([remainder(i, fold) == held for i in ids.to_pylist()], bool)
+        one = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+        blobs = {"away": away, "end": np.concatenate(ends), "key": key, "cell": cell, "word": word.astype(np.uint32)}
+        return ipc(pa.table({"ids": one, **{k: pa.array([x.tobytes()], pa.large_binary()) for k, x in blobs.items()}}))
+
+    def counts(self) -> np.ndarray:
+        """How often each distinct word stands in training texts."""
+        train = np.repeat(~self.away, np.diff(self.end, prepend=-1))
+        return np.bincount(self.word, weights=train, minlength=len(self.key)).astype(np.int64)
+
+    def parts(self, classes: "Classes", limit: int = 1 << 17) -> Iterator[tuple[slice, np.ndarray, Tokens, np.ndarray]]:
+        """The texts some at a time: which they are, the word of each token, the tokens, the class of each."""
+        of_word, n = classes(self.key, self.cell), np.diff(self.end, prepend=-1)
+        for s, e in slices(n.tolist(), limit):
+            a, b = int(self.end[s] - n[s] + 1), int(self.end[e - 1]) + 1
+            w = self.word[a:b]
+            yield slice(s, e), w, Tokens(self.key[w], self.cell[w], self.end[s:e] - a), of_word[w]
+
+
 def remainder(value, n: int) -> int:
     """crc32 of the id as text, modulo n; a null id counts as remainder 0."""
     return 0 if value is None else zlib.crc32(str(value).encode()) % n
@@ -137,13 +181,15 @@ def expect(out: np.ndarray, weights: np.ndarray, keys: list[np.ndarray]) -> None
     """
     bits = ROWS.bit_length() - 1
     key, times = np.unique(np.concatenate(keys), return_counts=True)
-    room, turned = np.empty((2, BATCH, CLASSES), np.float32), np.empty((CLASSES, BATCH), np.float32)
-    for at in range(0, len(key), BATCH):
-        k4 = key[at : at + BATCH]
-        n = len(k4)
+    room, turned = np.empty((2, BATCH, CLASSES), np.float32), np.empty((CLASSES, ADDED), np.float32)
+    for at in range(0, len(key), ADDED):
+        k4 = key[at : at + ADDED]
         f = [k4 >> bits * (TEMPLATES - 1 - k) & (ROWS - 1) for k in range(TEMPLATES)]
-        z = np.exp(_scores(weights, f, room[0, :n], room[1, :n]), out=room[0, :n])
-        p = np.multiply(z.T, (times[at : at + BATCH] / np.einsum("ij->i", z)).astype(np.float32), out=turned[:, :n])
+        for s in range(0, len(k4), BATCH):
+            e = min(len(k4), s + BATCH)
+            z = np.exp(_scores(weights, [x[s:e] for x in f], room[0, : e - s], room[1, : e - s]), out=room[0, : e - s])
+            np.multiply(z.T, (times[at + s : at + e] / np.einsum("ij->i", z)).astype(np.float32), out=turned[:, s:e])
+        p = turned[:, : len(k4)]
         first = np.flatnonzero(np.diff(f[0], prepend=-1))  # histories are in the order of the first template's rows
         out[0][:, f[0][first]] += np.add.reduceat(p, first, axis=1)
         for k in range(1, TEMPLATES):
@@ -162,25 +208,13 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     bounded_batches(spark)
     source = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    chunks = packed(source, chunk_bytes)
+    chunks = packed(source, chunk_bytes, lambda t: Chunk.encode(t, fold, held))
     shards = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds = np.array([(k << 64) // shards for k in range(shards)], np.uint64)
 
-    def read(t: pa.Table):
-        d = unpacked(t)
-        raw, ids = text_bytes(d.column("text")), d.column("id").to_pylist()
-        for s, e in slices([len(x) + 8 for x in raw]):
-            yield d.column("id").slice(s, e - s), np.array([remainder(i, fold) == held for i in ids[s:e]]), Tokens(raw[s:e])
-
-    def distinct(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hash, cell and training count of the distinct tokens of a chunk."""
-        found = [(x.hash, x.cell, ~out[x.doc]) for _, out, x in read(t)]
-        h, cell, train = (np.concatenate(x) for x in zip(*found, strict=True))
-        key, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        return key, cell[first], np.bincount(inverse, weights=train).astype(np.int64)
-
     def name(t: pa.Table) -> pa.RecordBatch:
-        key, cell, count = distinct(t)
+        c = Chunk(t)
+        key, cell, count = c.key, c.cell, c.counts()
         edge = np.append(np.searchsorted(key, bounds), len(key))
         used = np.flatnonzero(np.diff(edge))
         blob = lambda x: pa.array([x[edge[k] : edge[k + 1]].tobytes() for k in used], pa.binary())
@@ -260,9 +294,9 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         return out.reshape(2, TEMPLATES, ROWS, CLASSES)
 
     def together(t: pa.Table) -> np.ndarray:
-        out = np.zeros((2, TEMPLATES, ROWS * CLASSES), np.int64)
-        for _, away, x in read(t):
-            for factor, (rows, outcome, _) in zip(out, x.rows(~away[x.doc], classes(x)), strict=True):
+        out, chunk = np.zeros((2, TEMPLATES, ROWS * CLASSES), np.int64), Chunk(t)
+        for of, _, x, cls in chunk.parts(classes):
+            for factor, (rows, outcome, _) in zip(out, x.rows(~chunk.away[of][x.doc], cls), strict=True):
                 for k, row in enumerate(rows):
                     factor[k] += np.bincount(row * CLASSES + outcome, minlength=ROWS * CLASSES)
         return out.astype(np.float32)
@@ -273,11 +307,11 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         sent = spark.sparkContext.broadcast([f.weights for f in factors])
 
         def expected(t: pa.Table, sent=sent) -> np.ndarray:
-            out = np.zeros((2, TEMPLATES, CLASSES, ROWS), np.float32)
-            keys = [[histories(rows) for rows, _, _ in x.rows(~away[x.doc], classes(x))] for _, away, x in read(t)]
+            out, chunk = np.zeros((2, TEMPLATES, CLASSES, ROWS)), Chunk(t)
+            keys = [[histories(rows) for rows, _, _ in x.rows(~chunk.away[of][x.doc], cls)] for of, _, x, cls in chunk.parts(classes)]
             for factor, weights, found in zip(out, sent.value, zip(*keys, strict=True), strict=True):
                 expect(factor, weights, found)
-            return np.ascontiguousarray(out.transpose(0, 1, 3, 2))
+            return out.transpose(0, 1, 3, 2).astype(np.float32, order="C")
 
         for factor, sums in zip(factors, summed(expected), strict=True):
             factor.update(sums)
@@ -285,18 +319,16 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     scale = math.log10(tokens + distinct_words + 1)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        parts = list(read(left))
-        key = np.unique(np.concatenate([x.hash for _, _, x in parts]))
+        chunk = Chunk(left)
+        key = chunk.key
         edge = np.append(np.searchsorted(key, bounds), len(key))
         count = np.zeros(len(key), np.int64)
         for k, x in zip(right.column("shard").to_pylist(), right.column("counts").to_pylist(), strict=True):
             n = int(edge[k + 1] - edge[k])
             count[edge[k] : edge[k + 1]] = np.frombuffer(x, "<u4" if len(x) == 4 * n else "<i8")
         out = []
-        for ids, away, x in parts:
-            n = len(away)
-            c = count[np.searchsorted(key, x.hash)]
-            cls, logp = classes(x), np.zeros(len(c))
+        for of_texts, word, x, cls in chunk.parts(classes):
+            n, c, logp = len(x.end), count[word], np.zeros(len(word))
             for weights, (rows, outcome, of) in zip(sent.value, x.rows(np.ones(len(c), bool), cls), strict=True):
                 logp[of] += log_chances(weights, rows, outcome) / math.log(10)
             rare = cls > TOP
@@ -304,7 +336,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
             base = np.log10(c + 1) - scale
             sums = [np.bincount(x.doc, weights=v, minlength=n) for v in (np.ones(len(c)), c > 0, base, logp)]
             out.append(pa.table({
-                "id": ids, "held_out": pa.array(away), "n_tokens": pa.array(sums[0].astype(np.int64)), "n_known": pa.array(sums[1].astype(np.int64)),
+                "id": chunk.ids[of_texts], "held_out": pa.array(chunk.away[of_texts]), "n_tokens": pa.array(sums[0].astype(np.int64)), "n_known": pa.array(sums[1].astype(np.int64)),
                 "train_tokens": pa.array(np.full(n, tokens, np.int64)), "base_score": pa.array(sums[2]), "score": pa.array(sums[3]),
             }))
         return pa.concat_tables(out)

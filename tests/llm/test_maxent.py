@@ -53,12 +53,12 @@ def test_every_training_token_gives_a_gradient_in_every_round(case):
     texts, got = case
     raw = [(t or "").encode() for t in texts]
     held = np.array([zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(raw))])
-    t = maxent.Tokens(raw)
+    t = maxent.split(raw)
     on = ~held[t.doc]
     key, first, count = np.unique(t.hash[on], return_index=True, return_counts=True)
     word = key != t.hash[t.end[0]]
     top = sorted(zip(-count[word], key[word].view(np.int64).tolist(), strict=True))[: maxent.TOP]
-    cls = maxent.Classes([k % 2**64 for _, k in top])(t)
+    cls = maxent.Classes([k % 2**64 for _, k in top])(t.hash, t.cell)
     want = np.zeros(len(cls))
     for (rows, outcome, of), (train, seen_outcome, _) in zip(t.rows(np.ones(len(cls), bool), cls), t.rows(on, cls), strict=True):
         seen = np.zeros((maxent.TEMPLATES, maxent.ROWS, maxent.CLASSES))
