@@ -32,7 +32,7 @@ CLASSES, TOP, PARTS, TEMPLATES, ROWS, BLOCK_ROWS = 64, 47, 64, 4, 4096, 128
 KINDS = CLASSES - TOP - 1
 ROUNDS, RATE, START, CHUNK_BYTES, BATCH, ADDED = 2, 0.7, 0.35, 8 << 20, 1 << 10, 1 << 14
 #: Packed bytes of a task whose result is one array of 8 MB.
-TASK_BYTES = 16 << 20
+TASK_BYTES = 64 << 20
 #: Weights stay within this, so that exponentials of their sums stay in range.
 LARGEST = 12.0
 PRIORS = (5.0, 20.0, 80.0, 320.0, 1280.0, 5120.0, 1e5, 1e9)
@@ -109,7 +109,8 @@ class Chunk:
         read = lambda name, kind: np.frombuffer(t.column(name)[0].as_py(), kind)
         self.ids = t.column("ids").chunk(0).flatten()
         self.away, self.end = read("away", bool), read("end", np.int64)
-        self.key, self.cell, self.word = read("key", np.uint64), read("cell", np.uint16), read("word", np.uint32)
+        self.key, self.cell = read("key", np.uint64), read("cell", np.uint16)
+        self.word = read("low", np.uint16) | read("high", np.uint16).astype(np.uint32) << np.uint32(16)
 
     @staticmethod
     def encode(t: pa.Table, fold: int, held: int) -> bytes:
@@ -123,7 +124,7 @@ class Chunk:
         cell = np.concatenate([x.cell for x in found])[first]
         away = np.array([remainder(i, fold) == held for i in ids.to_pylist()], bool)
         one = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-        blobs = {"away": away, "end": np.concatenate(ends), "key": key, "cell": cell, "word": word.astype(np.uint32)}
+        blobs = {"away": away, "end": np.concatenate(ends), "key": key, "cell": cell, "low": (word & 0xFFFF).astype(np.uint16), "high": (word >> 16).astype(np.uint16)}
         return ipc(pa.table({"ids": one, **{k: pa.array([x.tobytes()], pa.large_binary()) for k, x in blobs.items()}}))
 
     def counts(self) -> np.ndarray:
@@ -287,7 +288,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
             yield pa.RecordBatch.from_arrays([pa.array(list(state), pa.int32()), pa.array([x.tobytes() for x in state.values()], pa.binary())], ["block", "sums"])
 
         bytes_of = chunks.agg(F.sum(F.octet_length("blob"))).first()[0] or 0
-        few = max(spark.sparkContext.defaultParallelism, math.ceil(bytes_of / TASK_BYTES))
+        few = max(2 * spark.sparkContext.defaultParallelism, math.ceil(bytes_of / TASK_BYTES))
         out = np.zeros((2 * TEMPLATES * ROWS // BLOCK_ROWS, BLOCK_ROWS * CLASSES))
         for r in chunks.coalesce(few).mapInArrow(run, "block int, sums binary").repartition("block").mapInArrow(add, "block int, sums binary").toLocalIterator():
             out[r["block"]] = np.frombuffer(r["sums"])
