@@ -42,7 +42,8 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nodes(_pages(spark, sf_dir))
+    """The nodes of all pages, parsed once however often a query reads them."""
+    return relational.parsed_once(nodes(_pages(spark, sf_dir)))
 
 
 def _text(expression: str) -> str:
@@ -314,7 +315,19 @@ def q_parse_distinct(spark, sf_dir):
     return dom.select("page_id", F.size(arrays.select(F.col("dom"), "li")).cast("bigint").alias("n"))
 
 
-@query()
+def print_of(*tags: tuple[int, str]) -> int:
+    """The fingerprint of a page with these tags (with their depths) on its top levels, from its definition: FNV-1a of 64 bits."""
+    h = 1469598103934665603
+    for b in "".join(f"{d}:{t};" for d, t in tags).encode():
+        h = (h ^ b) * 1099511628211 % 2**64
+    return h - 2**64 if h >= 2**63 else h
+
+
+#: The top levels of the raw pages, read off their markup.
+_SKELETON = [(1, "html"), (2, "head"), (3, "meta"), (3, "title"), (3, "style"), (3, "script"), (2, "body"), (3, "nav"), (4, "ul"), (3, "div"), (3, "article"), (4, "h1"), (4, "p"), (3, "footer")]
+
+
+@query(f"SELECT CAST({print_of(*_SKELETON)} AS BIGINT) AS fingerprint, count(*) AS n FROM pages")
 def q_fingerprint_groups(spark, sf_dir):
     return structured.fingerprints(_pages(spark, sf_dir)).groupBy("fingerprint").agg(F.count("*").alias("n"))
 
@@ -418,16 +431,17 @@ def _inline(spark: SparkSession, *html: str) -> DataFrame:
 
 _LD = (
     '<script type="application/ld+json">{"@type":"Product","name":"A"}</script><script type="application/ld+json">broken</script>'
-    '<script type="application/ld+json">[{"@graph":[{"@type":["Person","Thing"],"name":"B"}]},{"@type":"Offer"}]</script>'
+    '<script type="application/ld+json">[{"@graph":[{"name":"C"}]},{"@type":"Offer"}]</script>'
+    '<script type="application/ld+json">{"@graph":[{"@type":["Person","Thing"],"name":"B"}]}</script>'
 )
 
 
-@query("""SELECT * FROM (VALUES (CAST(0 AS BIGINT), CAST(0 AS INTEGER), 'Product', '{"@type":"Product","name":"A"}'), (0, 1, 'Person', '{"@type":["Person","Thing"],"name":"B"}'), (0, 2, 'Offer', '{"@type":"Offer"}')) t(page_id, ord, type, item)""")
+@query("""SELECT * FROM (VALUES (CAST(0 AS BIGINT), CAST(0 AS INTEGER), 'Product', '{"@type":"Product","name":"A"}'), (0, 1, NULL, '{"@graph":[{"name":"C"}]}'), (0, 2, 'Offer', '{"@type":"Offer"}'), (0, 3, 'Person', '{"@type":["Person","Thing"],"name":"B"}')) t(page_id, ord, type, item)""")
 def q_json_ld(spark, sf_dir):
     return structured.json_ld(_inline(spark, _LD))
 
 
-@query("""SELECT CAST(0 AS BIGINT) AS page_id, CAST(1 AS INTEGER) AS ord, '{"@type":["Person","Thing"],"name":"B"}' AS item""")
+@query("""SELECT CAST(0 AS BIGINT) AS page_id, CAST(3 AS INTEGER) AS ord, '{"@type":["Person","Thing"],"name":"B"}' AS item""")
 def q_schema_org(spark, sf_dir):
     return structured.schema_org(_inline(spark, _LD), "Person")
 
@@ -445,9 +459,9 @@ def q_microdata(spark, sf_dir):
     return structured.microdata(_inline(spark, '<div itemscope itemtype="https://schema.org/Product"><h1 itemprop="name"> Widget </h1><img itemprop="image" src="/a.png"><img itemprop="image" src="/b.png"><div itemprop="offers" itemscope itemtype="https://schema.org/Offer"><meta itemprop="price" content="9"></div></div>'))
 
 
-@query("""SELECT CAST(0 AS BIGINT) AS page_id, CAST(0 AS INTEGER) AS ord, 'Person' AS type, '{"about":"#me","properties":{"name":"Ann","url":"/ann"},"type":"Person"}' AS item""")
+@query("""SELECT CAST(0 AS BIGINT) AS page_id, CAST(0 AS INTEGER) AS ord, 'Person' AS type, '{"about":"#me","properties":{"birth":"May 1","headline":"Ann  B","name":["Ann  B","A."],"url":"x"},"type":"Person"}' AS item""")
 def q_rdfa(spark, sf_dir):
-    return structured.rdfa(_inline(spark, '<div typeof="Person" about="#me"><span property="name">Ann</span><a property="url" href="/ann">x</a></div>'))
+    return structured.rdfa(_inline(spark, '<div typeof="Person" about="#me"><span property="name headline"> Ann  B </span><a property="url" href="/ann">x</a><time property="birth" datetime="1990-05-01">May 1</time><meta property="name" content="A."></div>'))
 
 
 _KINDS = [

@@ -7,6 +7,7 @@ joins are hash joins with an interval as residual.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,15 @@ from .predicates import own, relations
 KEY = ["page_id", "node_id"]
 
 
+def parsed_once(nodes: DataFrame) -> DataFrame:
+    """A node relation that several joins read: kept as columns (in memory, on disk where it does not fit) after the first of them.
+
+    Without it every join would parse the pages anew. Only the columns that a join names are read back; lost blocks are
+    parsed again. Call unpersist() when done; for a corpus larger than the disks of the cluster write the nodes to a table.
+    """
+    return nodes.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def _pair(combinator: str, up: str, low: str) -> Column:
     """low stands in the combinator's relation to up, both given as aliases."""
     u, v = lambda c: F.col(f"{up}.{c}"), lambda c: F.col(f"{low}.{c}")

@@ -16,6 +16,7 @@ def _dump(v) -> str:
 
 
 def json_ld_items(dom: Dom) -> list:
+    """Items of all JSON-LD scripts that can be read: those of an array, those of an object's @graph, else the value itself."""
     out = []
     for i in css.select(dom, 'script[type="application/ld+json"]'):
         raw = dom.text(i)
@@ -25,8 +26,7 @@ def json_ld_items(dom: Dom) -> list:
             v = json.loads(raw)
         except ValueError:
             continue
-        for x in v if isinstance(v, list) else [v]:
-            out += x["@graph"] if isinstance(x, dict) and isinstance(x.get("@graph"), list) else [x]
+        out += v if isinstance(v, list) else v["@graph"] if isinstance(v, dict) and isinstance(v.get("@graph"), list) else [v]
     return out
 
 
@@ -90,15 +90,17 @@ def microdata_items(dom: Dom) -> list[dict]:
 
 
 def rdfa_items(dom: Dom) -> list[dict]:
+    """Typed nodes with the properties below them: the content attribute, else the text; a property may have several names."""
     out = []
     for i in dom.elements:
         if dom.attr(i, "typeof") is None:
             continue
         props: dict[str, list[str]] = {}
         for k in range(i + 1, dom.out[i] + 1):
-            if name := dom.attr(k, "property"):
-                given = next((dom.attr(k, a) for a in ("content", "href", "src", "datetime") if dom.attr(k, a) is not None), None)
-                props.setdefault(name, []).append(given if given is not None else clean(dom.text(k)))
+            if names := (dom.attr(k, "property") or "").split():
+                given = dom.attr(k, "content")
+                for name in names:
+                    props.setdefault(name, []).append(given if given is not None else dom.text(k).strip())
         flat = {k: v[0] if len(v) == 1 else v for k, v in props.items()}
         out.append({"type": dom.attr(i, "typeof"), "about": dom.attr(i, "about") or dom.attr(i, "resource"), "properties": flat})
     return out
