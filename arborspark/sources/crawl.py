@@ -63,6 +63,10 @@ def follow(links: DataFrame, start: list[str], max_pages: int = 50) -> DataFrame
 # --- forms --------------------------------------------------------------------------------------------------------------
 
 
+#: fixed values: kinds of controls that send nothing unless used
+_NOT_SENT = ("submit", "button", "image", "reset", "file")
+
+
 class Form:
     """A form's address, method, encoding and values as a browser would send them untouched."""
 
@@ -73,7 +77,7 @@ class Form:
         self.values: dict[str, str] = {}
         for k in css.select(dom, "input[name]", i):
             kind, name = (dom.attr(k, "type") or "text").lower(), dom.attr(k, "name")
-            if kind in ("submit", "button", "image", "reset", "file"):
+            if kind in _NOT_SENT:
                 continue
             if kind in ("checkbox", "radio"):
                 if dom.attr(k, "checked") is not None:
@@ -89,13 +93,34 @@ class Form:
         for k in css.select(dom, "textarea[name]", i):
             self.values[dom.attr(k, "name")] = dom.text(k)
 
+    def __getitem__(self, name: str) -> str | None:
+        return self.values.get(name)
+
+    def __setitem__(self, name: str, value: str) -> None:
+        self.values[name] = value
+
+    def delete(self, name: str) -> Form:
+        """The form without a value."""
+        self.values.pop(name, None)
+        return self
+
     def request(self, overrides: dict[str, str] | None = None) -> dict[str, str | None]:
-        """method, url and body of a submission."""
+        """method, url and body of a submission, url-encoded."""
         body = urlencode({**self.values, **(overrides or {})})
         if self.method == "get":
             url = (self.action or "").split("#")[0]
             return {"method": "GET", "url": url + ("&" if "?" in url else "?") + body if body else url, "body": None}
-        return {"method": "POST", "url": self.action, "body": body}
+        return {"method": self.method.upper(), "url": self.action, "body": body}
+
+    def submit(self, session, overrides: dict[str, str] | None = None, files: dict[str, tuple[str, bytes]] | None = None) -> dict:
+        """The answer to a submission: by the address for GET, as multipart where the form or files ask for it, else url-encoded."""
+        r = self.request(overrides)
+        if self.method == "get":
+            return session.get(r["url"])
+        values = {**self.values, **(overrides or {})}
+        if files or self.enctype == "multipart/form-data":
+            return session.request(r["method"], r["url"], form=values, files=files or {}, multipart_form=True)
+        return session.request(r["method"], r["url"], form=values)
 
 
 def forms(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import json
+import os
 import random
 import re
 import time
@@ -12,16 +13,21 @@ import urllib.parse
 import urllib.request
 import uuid
 import zlib
-from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor, as_completed
 from dataclasses import dataclass, field, replace
 from http.cookiejar import CookieJar
+from typing import IO
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from ..functions import encoding
 from ..functions.coerce import host_col
+from ..functions.html import Dom
 
 #: fixed values: answers worth asking again
 RETRIED = frozenset((408, 425, 429, 500, 502, 503, 504))
@@ -46,6 +52,9 @@ class Options:
     verify: bool = True
     client_cert: tuple[str, str] | None = None
     max_bytes: int | None = None
+    ca_file: str | None = None
+    cookies: bool = True
+    max_bytes_per_second: int | None = None
 
     def merged(self, **changes) -> Options:
         headers = {**self.headers, **changes.pop("headers", {})}
@@ -111,6 +120,26 @@ def multipart(fields: dict[str, str], files: dict[str, tuple[str, bytes]]) -> tu
     return f"multipart/form-data; boundary={mark}", out + f"--{mark}--\r\n".encode()
 
 
+class StatusError(OSError):
+    """An answer that says no; response holds it."""
+
+    def __init__(self, response: dict):
+        super().__init__(f"status {response['status']} for {response['final_url']}" if response["error"] is None else response["error"])
+        self.response = response
+
+
+def raise_for_status(response: dict) -> dict:
+    """The response, unless it failed or has a status of 400 or more."""
+    if response["error"] is not None or response["status"] is None or response["status"] >= 400:
+        raise StatusError(response)
+    return response
+
+
+def document(response: dict) -> Dom:
+    """The parsed body of a response."""
+    return Dom((response["body"] or b"").decode("utf-8", "replace"))
+
+
 class _Redirects(urllib.request.HTTPRedirectHandler):
     def __init__(self, limit: int):
         self.max_redirections = self.max_repeats = limit
@@ -127,21 +156,23 @@ class Session:
     def _opener(self, o: Options) -> urllib.request.OpenerDirector:
         import ssl
 
-        context = ssl.create_default_context() if o.verify else ssl._create_unverified_context()
+        context = ssl.create_default_context(cafile=o.ca_file) if o.verify else ssl._create_unverified_context()
         if o.client_cert:
             context.load_cert_chain(*o.client_cert)
-        handlers = [_Redirects(o.max_redirects), urllib.request.HTTPCookieProcessor(self.cookies), urllib.request.HTTPSHandler(context=context)]
+        handlers = [_Redirects(o.max_redirects), urllib.request.HTTPSHandler(context=context)]
+        if o.cookies:
+            handlers.append(urllib.request.HTTPCookieProcessor(self.cookies))
         handlers.append(urllib.request.ProxyHandler({"http": o.proxy, "https": o.proxy} if o.proxy else {}))
         return urllib.request.build_opener(*handlers)
 
-    def request(self, method: str, url: str, body: bytes | None = None, json_body=None, form: dict[str, str] | None = None, files: dict | None = None, **changes) -> dict:
-        """status, headers, body, final_url, error of one request, after retries."""
+    def request(self, method: str, url: str, body: bytes | None = None, json_body=None, form: dict[str, str] | None = None, files: dict | None = None, multipart_form: bool = False, to: IO[bytes] | None = None, **changes) -> dict:
+        """status, headers, body, final_url, error of one request, after retries. With to, a successful body goes there as it comes."""
         o = self.options.merged(**changes) if changes else self.options
-        headers = {**o.headers, "Accept-Encoding": ", ".join(k for k in ("gzip", "deflate", "zstd") if features()[k])}
+        headers = {"Accept-Encoding": ", ".join(k for k in ("gzip", "deflate", "zstd") if features()[k]), **o.headers}
         if json_body is not None:
             body, headers["Content-Type"] = json.dumps(json_body).encode(), "application/json"
-        elif files:
-            headers["Content-Type"], body = multipart(form or {}, files)
+        elif files or multipart_form:
+            headers["Content-Type"], body = multipart(form or {}, files or {})
         elif form is not None:
             body, headers["Content-Type"] = urllib.parse.urlencode(form).encode(), "application/x-www-form-urlencoded"
         if o.auth:
@@ -151,7 +182,7 @@ class Session:
         got: dict = {}
         for attempt in range(o.retries + 1):
             self._wait(url, o.interval)
-            got = self._once(method, url, body, headers, o)
+            got = self._once(method, url, body, headers, o, to)
             if got["status"] not in RETRIED and got["error"] is None or attempt == o.retries:
                 break
             self.sleep(pause(attempt, o, (got["headers"] or {}).get("retry-after")))
@@ -166,16 +197,44 @@ class Session:
             if start > now:
                 self.sleep(start - now)
 
-    def _once(self, method: str, url: str, body: bytes | None, headers: dict, o: Options) -> dict:
+    def _once(self, method: str, url: str, body: bytes | None, headers: dict, o: Options, to: IO[bytes] | None = None) -> dict:
         req = urllib.request.Request(url, data=body, headers=headers, method=method)
         try:
             with self._opener(o).open(req, timeout=o.timeout) as r:
-                return _response(r, o)
+                return _response(r, o) if to is None else self._copy(r, o, to)
         except urllib.error.HTTPError as e:
             return _response(e, o)
         except (OSError, ValueError) as e:
             return {"status": None, "headers": {}, "body": None, "final_url": url, "error": str(e)}
 
+    def _copy(self, r, o: Options, to: IO[bytes]) -> dict:
+        """The body in pieces, no faster than the options allow; stored as it is sent."""
+        sent, start = 0, time.monotonic()
+        while piece := r.read(1 << 16):
+            sent += len(piece)
+            if o.max_bytes and sent > o.max_bytes:
+                to.write(piece[: o.max_bytes - sent])
+                break
+            to.write(piece)
+            if o.max_bytes_per_second:
+                ahead = sent / o.max_bytes_per_second - (time.monotonic() - start)
+                if ahead > 0:
+                    self.sleep(ahead)
+        return {"status": r.status, "headers": {k.lower(): v for k, v in r.headers.items()}, "body": None, "final_url": r.geturl(), "error": None}
+
+    def download_to(self, url: str, path: str, **k) -> dict:
+        """The answer, whose body is in the file if it says yes; what is there is only replaced by a whole body."""
+        part = f"{path}.{uuid.uuid4().hex}.part"
+        try:
+            with open(part, "wb") as f:
+                got = self.request("GET", url, to=f, headers={**k.pop("headers", {}), "Accept-Encoding": "identity"}, **k)
+            if got["error"] is None and got["status"] < 300:
+                os.replace(part, path)
+        finally:
+            if os.path.exists(part):
+                os.remove(part)
+        return got
+
     def get(self, url: str, **k) -> dict:
         return self.request("GET", url, **k)
 
@@ -199,6 +258,13 @@ class Session:
         with ThreadPoolExecutor(threads) as pool:
             return list(pool.map(self.get, urls))
 
+    def completed(self, urls: list[str], threads: int = 8) -> Iterator[tuple[int, dict]]:
+        """(place, answer) of each address, as they come in."""
+        with ThreadPoolExecutor(threads) as pool:
+            asked = {pool.submit(self.get, u): i for i, u in enumerate(urls)}
+            for done in as_completed(asked):
+                yield asked[done], done.result()
+
 
 def _response(r, o: Options) -> dict:
     headers = {k.lower(): v for k, v in r.headers.items()}
@@ -211,34 +277,61 @@ def _response(r, o: Options) -> dict:
     return {"status": r.status if hasattr(r, "status") else r.code, "headers": headers, "body": raw, "final_url": r.geturl(), "error": None}
 
 
-def fetch(requests: DataFrame, options: Options | None = None, url_col: str = "url", method_col: str | None = None, body_col: str | None = None, threads: int = 4) -> DataFrame:
-    """requests with the response columns. Rows are dealt by host, so that a host's pauses are kept in one place."""
-    import pandas as pd
+def fetch(requests: DataFrame, options: Options | None = None, url_col: str = "url", method_col: str | None = None, body_col: str | None = None, headers_col: str | None = None, json_col: str | None = None, form_col: str | None = None, bearer_col: str | None = None, threads: int = 4, in_order: bool = True) -> DataFrame:
+    """requests with the response columns.
 
+    Each row may bring its own method, body, headers (a map), JSON text, form (a map) and bearer token. Columns etag and
+    last_modified, as conditional() gives them, are sent as validators, so that an unchanged page is answered by 304. With a
+    pause between requests rows are dealt by host, so that a host's pauses are kept in one place; without one they stay where
+    they are, so that a host of many rows is no single task. Answers come in the order of the rows, or as they arrive.
+    """
     o = options or Options()
-    cols = requests.columns
+    names = requests.columns
+    arrow = to_arrow_schema(StructType([*requests.schema.fields, *_parse_datatype_string(RESPONSE).fields]))
 
     def run(batches):
         session = Session(o)
-        for pdf in batches:
-            def one(r):
-                body = r[body_col] if body_col else None
-                return session.request(r[method_col] if method_col else "GET", r[url_col], body.encode() if isinstance(body, str) else body)
 
-            rows = pdf.to_dict("records")
+        def one(r):
+            headers = dict(r[headers_col] or {}) if headers_col else {}
+            if r.get("etag"):
+                headers["If-None-Match"] = r["etag"]
+            if r.get("last_modified"):
+                headers["If-Modified-Since"] = r["last_modified"]
+            body, given = r[body_col] if body_col else None, {"headers": headers} if headers else {}
+            if json_col and r[json_col] is not None:
+                given["json_body"] = json.loads(r[json_col])
+            if form_col and r[form_col] is not None:
+                given["form"] = dict(r[form_col])
+            if bearer_col and r[bearer_col] is not None:
+                given["bearer"] = r[bearer_col]
+            method = (r[method_col] if method_col else None) or ("POST" if "json_body" in given or "form" in given or body is not None else "GET")
+            return session.request(method, r[url_col], body.encode() if isinstance(body, str) else body, **given)
+
+        def batch(b, places, got):
+            found = [pa.array([list(g[n].items()) if n == "headers" else g[n] for g in got], arrow.field(n).type) for n in ("status", "headers", "body", "final_url", "error")]
+            return pa.RecordBatch.from_arrays([*(c.take(pa.array(places, pa.int64())) for c in b.columns), *found], schema=arrow)
+
+        for b in batches:
+            rows = [{k: dict(v) if isinstance(v, list) and k in (headers_col, form_col) else v for k, v in r.items()} for r in b.to_pylist()]
             if o.interval > 0:
-                got = [one(r) for r in rows]
-            else:
-                with ThreadPoolExecutor(threads) as pool:
-                    got = list(pool.map(one, rows))
-            out = pdf.copy()
-            for name in ("status", "headers", "body", "final_url", "error"):
-                out[name] = pd.Series([g[name] for g in got], dtype=object)
-            out["status"] = out["status"].astype("Int32")
-            yield out
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema), RESPONSE])
-    return requests.repartition(host_col(F.col(url_col))).mapInPandas(run, schema).select(*cols, "status", "headers", "body", "final_url", "error")
+                yield batch(b, range(len(rows)), [one(r) for r in rows])
+                continue
+            with ThreadPoolExecutor(threads) as pool:
+                if in_order:
+                    yield batch(b, range(len(rows)), list(pool.map(one, rows)))
+                else:
+                    asked = {pool.submit(one, r): i for i, r in enumerate(rows)}
+                    for done in as_completed(asked):
+                        yield batch(b, [asked[done]], [done.result()])
+
+    dealt = requests.repartition(host_col(F.col(url_col))) if o.interval > 0 else requests
+    return dealt.mapInArrow(run, StructType([*requests.schema.fields, *_parse_datatype_string(RESPONSE).fields])).select(*names, "status", "headers", "body", "final_url", "error")
+
+
+def fetch_stream(requests: DataFrame, options: Options | None = None, **columns) -> DataFrame:
+    """fetch() of a streaming table of requests: each micro-batch gives its answers as they arrive."""
+    return fetch(requests, options, in_order=False, **columns)
 
 
 def conditional(requests: DataFrame, cache: DataFrame, url_col: str = "url") -> DataFrame:

@@ -1,6 +1,7 @@
 import gzip
 import json
 import threading
+import time
 import zlib
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
@@ -140,6 +141,109 @@ def test_fetch_table_and_revalidation(spark, server):
     assert http.conditional(answers.select("url"), held).first()["etag"] == "v1"
 
 
+class Pages(BaseHTTPRequestHandler):
+    """Answers that depend on validators, headers, bodies and time."""
+
+    def _send(self, status, body=b"", **headers):
+        self.send_response(status)
+        for k, v in headers.items():
+            self.send_header(k.replace("_", "-"), v)
+        self.send_header("Content-Length", str(len(body)))
+        self.end_headers()
+        self.wfile.write(body)
+
+    def do_GET(self):
+        if self.path == "/page":
+            same = self.headers.get("If-None-Match") == "v1" and self.headers.get("If-Modified-Since") == "Mon"
+            self._send(304 if same else 200, b"" if same else b"<h1>hi</h1>", ETag="v1", Last_Modified="Mon")
+        elif self.path == "/slow":
+            time.sleep(0.6)
+            self._send(200, b"slow")
+        elif self.path == "/big":
+            self._send(200, b"x" * 300_000)
+        else:
+            self._send(404)
+
+    def do_POST(self):
+        body = self.rfile.read(int(self.headers.get("Content-Length") or 0))
+        shown = {"method": self.command, "body": body.decode(), "kind": self.headers.get("Content-Type"), "x": self.headers.get("X-One"), "auth": self.headers.get("Authorization")}
+        self._send(200, json.dumps(shown).encode(), Content_Type="application/json")
+
+    do_PUT = do_DELETE = do_PATCH = do_POST
+
+    def log_message(self, *a):
+        pass
+
+
+@pytest.fixture(scope="module")
+def pages_server():
+    s = ThreadingHTTPServer(("127.0.0.1", 0), Pages)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{s.server_port}"
+    s.shutdown()
+
+
+def test_validators_are_sent(spark, pages_server):
+    """A second fetch with what the first answered brings 304, and the body from the cache."""
+    asked = spark.createDataFrame([(pages_server + "/page",)], "url string")
+    held = spark.createDataFrame(http.fetch(asked).collect(), "url string, status int, headers map<string,string>, body binary, final_url string, error string")
+    again = http.fetch(http.conditional(asked, held))
+    assert [r["state"] for r in http.revalidated(again).collect()] == ["fresh"]
+    r = http.from_cache(again, held).first()
+    assert (r["hit"], r["status"], bytes(r["body"])) == (True, 200, b"<h1>hi</h1>")
+
+
+def test_rows_bring_their_own_requests(spark, pages_server):
+    rows = [(1, None, {"X-One": "a"}, '{"k": 1}', None, "tok"), (2, "PUT", None, None, {"a": "b c"}, None), (3, "DELETE", None, None, None, None)]
+    df = spark.createDataFrame([(pages_server + "/p", *r) for r in rows], "url string, k int, method string, headers_in map<string,string>, json string, form map<string,string>, token string")
+    got = http.fetch(df, method_col="method", headers_col="headers_in", json_col="json", form_col="form", bearer_col="token")
+    seen = {r["k"]: json.loads(bytes(r["body"])) for r in got.collect()}
+    assert seen[1] == {"method": "POST", "body": '{"k": 1}', "kind": "application/json", "x": "a", "auth": "Bearer tok"}
+    assert (seen[2]["method"], seen[2]["body"], seen[3]["method"]) == ("PUT", "a=b+c", "DELETE")
+    assert got.columns[: len(df.columns)] == df.columns
+
+
+def test_answers_as_they_arrive(spark, pages_server):
+    urls = [pages_server + "/slow", pages_server + "/page"]
+    assert [i for i, _ in http.Session().completed(urls)] == [1, 0]
+    df = spark.createDataFrame([(u,) for u in urls], "url string").coalesce(1)
+    assert [r["url"] for r in http.fetch(df, in_order=False).collect()] == urls[::-1]
+    assert [r["url"] for r in http.fetch(df).collect()] == urls
+
+
+def test_streams_of_requests(spark, pages_server, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text(json.dumps({"url": pages_server + "/page"}) + "\n" + json.dumps({"url": pages_server + "/none"}))
+    q = http.fetch_stream(spark.readStream.schema("url string").json(str(tmp_path / "in"))).writeStream.format("memory").queryName("answers").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(r["status"] for r in spark.table("answers").collect()) == [200, 404]
+
+
+def test_downloads_and_refusals(pages_server, tmp_path):
+    waits, path = [], tmp_path / "big"
+    s = http.Session(http.Options(max_bytes_per_second=100_000, cookies=False), sleep=waits.append)
+    assert s.download_to(pages_server + "/big", str(path))["status"] == 200 and path.read_bytes() == b"x" * 300_000 and max(waits) > 1
+    assert s.download_to(pages_server + "/none", str(path))["status"] == 404 and path.stat().st_size == 300_000
+    assert [p.name for p in tmp_path.iterdir()] == ["big"]
+    assert http.document(http.raise_for_status(s.get(pages_server + "/page"))).text(1) == "hi"
+    with pytest.raises(http.StatusError) as e:
+        http.raise_for_status(s.get(pages_server + "/none"))
+    assert e.value.response["status"] == 404
+
+
+def test_forms_are_submitted(pages_server):
+    s = http.Session()
+    f = crawl.Form(Dom('<form action="/p" method="post"><input name=a value=1><input name=b value=2></form>'), 1, pages_server + "/x")
+    f["c"] = "3"
+    seen = json.loads(f.delete("b").submit(s, {"a": "9"})["body"])
+    assert (seen["method"], seen["body"], seen["kind"]) == ("POST", "a=9&c=3", "application/x-www-form-urlencoded")
+    f = crawl.Form(Dom('<form action="/p" method="put" enctype="multipart/form-data"><input name=a value=1></form>'), 1, pages_server + "/x")
+    seen = json.loads(f.submit(s)["body"])
+    assert seen["method"] == "PUT" and seen["kind"].startswith("multipart/form-data") and 'name="a"' in seen["body"]
+    f = crawl.Form(Dom('<form action="/page"><input name=a value=1></form>'), 1, pages_server + "/x")
+    assert f.submit(s)["status"] == 404 and f["a"] == "1"
+
+
 def test_pauses():
     o = http.Options(backoff=1, max_backoff=5)
     assert http.pause(1, o, "3") == 3 and http.pause(1, o, "99") == 5 and http.pause(2, o, None, lambda: 1.0) == 4 and http.pause(9, o, "soon", lambda: 0.5) == 2.5
