@@ -137,13 +137,13 @@ def extract_each(pages: DataFrame, outer: str, selectors: dict[str, str], html_c
 
 
 def matching(pages: DataFrame, selector: str, html_col: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """A row for each matching node: ord, node_id, tag, text, css_path."""
+    """A row for each matching node: ord, node_id, tag, text, css_path, xpath_path."""
 
     def compute(dom: Dom, row: dict):
         for k, i in enumerate(css.select(dom, selector)):
-            yield k, i, dom.tag[i], dom.text(i), dom.css_path(i)
+            yield k, i, dom.tag[i], dom.text(i), dom.css_path(i), dom.xpath_path(i)
 
-    return map_rows(pages, html_col, compute, "ord int, node_id int, tag string, text string, css_path string", keep)
+    return map_rows(pages, html_col, compute, "ord int, node_id int, tag string, text string, css_path string, xpath_path string", keep)
 
 
 def xpath(pages: DataFrame, expression: str, html_col: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:

@@ -11,7 +11,7 @@ from ..functions.html import COMMENT, ELEMENT, RAW, TEXT, VOID, Dom, escape
 from ..plans import css
 from .nodes import map_rows
 
-KINDS = "set_attribute remove_attribute add_class remove_class content inner_html remove append prepend before after replace wrap rename".split()
+KINDS = "set_attribute remove_attribute add_class remove_class content inner_html remove append prepend before after replace swap wrap rename".split()
 
 
 @dataclass(frozen=True)
@@ -70,7 +70,7 @@ def _write(dom: Dom, i: int, edit: Callable[[int], Edit | None]) -> str:
     what = e.kind if e else ""
     if what == "remove":
         return ""
-    if what == "replace":
+    if what in ("replace", "swap"):
         return e.value
     tag = e.name.lower() if what == "rename" else dom.tag[i]
     body = escape(e.value) if what == "content" else e.value if what == "inner_html" else inner()

@@ -58,17 +58,24 @@ def _columns(doms: list[Dom]) -> list[pa.Array]:
     return [pa.array(cols[name], kind) for name, kind in _ARROW]
 
 
-#: Sizes (as the optimizer estimates them) between which a table in few files is dealt out over the cores.
-SPREAD = (1 << 20, 64 << 20)
+#: Bytes (as the optimizer estimates them) below which a table is one task's work.
+SMALL = 1 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A small table dealt out over the cores, as one file is otherwise one task; larger tables stay as they are read."""
+    """A table read in less than half as many tasks as there are cores (one file of one row group, say) dealt out over them.
+
+    Only plain reads of files are looked at: other plans have the partitions of their own shuffles.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.isStreaming or cores < 2:
         return df
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if SPREAD[0] <= size <= SPREAD[1] else df
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    if "FileScan" not in plan or any(x in plan for x in ("Exchange", "Join", "Aggregate", "Sort", "Window")):
+        return df
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SMALL:
+        return df
+    return df.repartition(cores) if 2 * df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
 def map_rows(df: DataFrame, html_col: str, compute: Callable[[Dom, dict[str, Any]], Iterable[tuple]], schema: str | StructType, keep: tuple[str, ...], needs: tuple[str, ...] = ()) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 
 duckdb = pytest.importorskip("duckdb")
 import __spark_entry__ as entry
-from arborspark import catalog
+from arborspark import catalog, catalog_built
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -36,6 +36,17 @@ def test_query_equals_its_oracle(spark, duck, name):
     assert sorted((tuple(plain(r[c]) for c in sorted(names)) for r in df.collect()), key=repr) == want
 
 
+@pytest.mark.parametrize("name", ["q_links_relational", "q_has", "q_navigation", "q_node_sets"])
+def test_relational_queries_parse_once(spark, name):
+    """Every scan of the nodes reads what one parse has kept."""
+    df = entry.queries()[name](spark, SF)
+    optimized = df._jdf.queryExecution().optimizedPlan()
+    kept = df._jdf.queryExecution().withCachedData().toString()
+    assert kept.count("InMemoryRelation") > 1 and "MapInArrow" not in kept.split("InMemoryRelation")[0]
+    assert optimized.toString().count("MapInArrow") <= kept.count("InMemoryRelation")
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert catalog_built.QUERIES is catalog.QUERIES and set(catalog.QUERIES) == set(catalog.ORACLES)
