@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from arborspark.llm.blocks import deal
-from arborspark.llm.components import components
+from arborspark.llm.components import components, least_reachable
 from arborspark.llm.decontaminate import words
 from arborspark.llm.jaccard import BLOCK, _exact_links, keep_one, near_duplicates, runs_for
 
@@ -124,12 +124,24 @@ def test_links_from_differences():
     assert got.tolist() == want
 
 
-def test_components_of_a_long_path(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 500), (7, 7)], "a long, b long")
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_components_of_a_long_path(spark, monkeypatch, few):
+    from arborspark.llm import components as module
+
+    monkeypatch.setattr(module, "FEW", few)
+    n = 200 if few else 12
+    edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(500, 501), (501, 500), (7, 7)], "a long, b long")
     got = {r["node"]: r["component"] for r in components(edges).collect()}
-    assert got == {**dict.fromkeys(range(201), 0), 500: 500, 501: 500}
+    assert got == {**dict.fromkeys(range(n + 1), 0), 500: 500, 501: 500}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_least_reachable_nodes():
+    rng = np.random.default_rng(1)
+    order = rng.permutation(500)
+    node, to = least_reachable(np.concatenate([order[:-1], [900, 901]]), np.concatenate([order[1:], [901, 902]]))
+    assert node.tolist() == [*range(500), 900, 901, 902] and to.tolist() == [0] * 500 + [900] * 3
+
+
 def test_runs_grow_with_the_recall():
     assert runs_for(0.9) < runs_for(0.9999)
