@@ -120,9 +120,13 @@ def solve(sizes: np.ndarray, need: np.ndarray, length: int = LENGTH, max_rounds:
     m = len(sizes)
     if not m:
         return []
-    basis = first_basis(sizes, need, length)
+    basis = before = first_basis(sizes, need, length)
     for _ in range(max_rounds):
-        duals = np.linalg.solve(basis.T, np.ones(m))
+        try:
+            duals = np.linalg.solve(basis.T, np.ones(m))
+        except np.linalg.LinAlgError:  # the last exchange was of a pattern that the others make up
+            basis = before
+            break
         worth, pattern = price(sizes, duals, length)
         if worth <= 1 + 1e-7:
             break
@@ -132,7 +136,9 @@ def solve(sizes: np.ndarray, need: np.ndarray, length: int = LENGTH, max_rounds:
         if not ok.any():
             break
         ratio = np.where(ok, np.maximum(x, 0) / np.where(ok, d, 1), np.inf)
-        basis[:, int(ratio.argmin())] = pattern
+        tied = np.flatnonzero(ratio <= ratio.min() + 1e-9)
+        before, basis = basis, basis.copy()
+        basis[:, tied[d[tied].argmax()]] = pattern  # of columns that run out together, the one most used
     x = np.linalg.solve(basis, need.astype(float))
     left, out = need.astype(np.int64).copy(), []
     for j in np.argsort(-x):

@@ -36,6 +36,33 @@ def test_patterns_hold_every_piece_exactly_once():
         assert sum(u for _, u in plan) <= least + 2 + least // 200
 
 
+def test_many_equal_lengths():
+    """Large groups of equal documents, whose patterns tie."""
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        need = np.zeros(LENGTH, np.int64)
+        for n in rng.integers(1, 1500, int(rng.integers(1, 40))):
+            for _, k in cuts(int(n)):
+                need[k] += int(rng.choice([1, 16, 1000, 2048]))
+        sizes = np.flatnonzero(need)
+        plan = solve(sizes, need[sizes], max_rounds=60)
+        assert (sum(p * u for p, u in plan) == need[sizes]).all() and all((p * sizes).sum() <= LENGTH for p, _ in plan)
+
+
+def test_a_singular_exchange_is_taken_back(monkeypatch):
+    calls, real = [], np.linalg.solve
+
+    def solve_once(a, b):
+        calls.append(1)
+        if len(calls) == 4:
+            raise np.linalg.LinAlgError("Singular matrix")
+        return real(a, b)
+
+    monkeypatch.setattr(np.linalg, "solve", solve_once)
+    sizes, need = np.array([700, 600, 500, 300]), np.array([10, 10, 10, 10])
+    assert (sum(p * u for p, u in solve(sizes, need)) == need).all()
+
+
 def test_no_piece_is_a_sliver_of_its_document():
     for n in range(1, 5000):
         got = cuts(n)
