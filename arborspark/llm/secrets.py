@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, spread
+from .common import bounded_batches, cut, release, spread
 
 FINDINGS, TREES, DEPTH, TRY, THRESHOLD, AROUND, VOCABULARY, LABELLED = 4000, 40, 9, 6, 0.5, 48, 20_000, 100_000
 
@@ -77,10 +77,22 @@ class Dictionary:
 
 
 def learn_dictionary(docs: DataFrame, text_col: str = "text", limit: int = VOCABULARY) -> Dictionary:
-    """The limit most frequent words (3 to 15 letters, lower-cased) of all texts; ties go by the word. Null texts have none."""
+    """The limit most frequent words (3 to 15 letters, lower-cased) of all texts; ties go by the word. Null texts have none.
+
+    What the driver gets is bounded: a histogram of the counts (eight steps to a doubling) shows from which step on there are
+    enough words, and only those of that step and above are ranked.
+    """
     words = spread(docs.select(docs[text_col].cast("string").alias("t"))).select(F.explode(F.split(F.lower("t"), r"[^\p{L}]+")).alias("w"))
     words = words.where(F.length("w").between(3, 15)).groupBy("w").agg(F.count("*").alias("n"))
-    return Dictionary([r["w"] for r in words.orderBy(F.desc("n"), "w").limit(limit).collect()])
+    words = cut(words.withColumn("step", F.floor(F.log2("n") * 8).cast("int")))
+    least, have = 0, 0
+    for step, n in sorted(((r["step"], r["count"]) for r in words.groupBy("step").count().collect()), reverse=True):
+        least, have = step, have + n
+        if have >= limit:
+            break
+    found = [r["w"] for r in words.where(F.col("step") >= least).orderBy(F.desc("n"), "w").limit(limit).collect()]
+    release(words)
+    return Dictionary(found)
 
 
 _LETTERS = re.compile(r"[^\W\d_]{3,}")
