@@ -6,6 +6,7 @@ parameter); idf comes from the same sample. A text takes the language of the cen
 if it has no letter or lies too far from that centroid for its length. The radii are calibrated on the fourth part of the
 sample, which the centroids have not seen: for each length class, the cosine that 95 of 100 foreign texts (texts of a
 language, compared with the centroids of all others) do not reach, but never so much that a text of a known language fails.
+A class with few such texts takes those of its neighbours too: the least cosine of few texts fails many others.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from .common import SLICE_BYTES, bounded_batches, slices, spread
 
 DIM, PER_LANGUAGE, CENTROIDS, ROUNDS = 4096, 800, 4, 12
 #: Share of foreign texts that a radius shuts out where known ones allow it, how far below the lowest known cosine it stays, texts to calibrate a class on.
-FOREIGN, ROOM, ENOUGH, LANGUAGES = 0.95, 0.95, 40, 200
+FOREIGN, ROOM, ENOUGH, LANGUAGES = 0.95, 0.9, 200, 200
 _KEEP = bytes(c if 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 _DROP = bytes(c for c in range(0x21, 0x80) if not 0x61 <= c <= 0x7A)
 _LETTER = re.compile(r"[^\W\d_]+")
