@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, join_hot, one_by_one, packed, slices, spread, text_bytes, unpacked
+from .common import bounded_batches, cut, join_hot, one_by_one, packed, release, slices, spread, text_bytes, unpacked
 
 ORDER, QUANTILE, HELD, CHUNK_BYTES = 5, 0.995, 5, 16 << 20
 #: Distinct n-grams up to which their log probabilities (12 bytes each) are sent to the executors; beyond it they are joined to chunks.
@@ -74,7 +74,7 @@ def model(counts: DataFrame) -> list[tuple[DataFrame, DataFrame, tuple[float, fl
 
 def log_probs(asked: DataFrame, levels: list) -> DataFrame:
     """(key, logp) for every n-gram asked for: interpolated from the lowest order up."""
-    p = asked.select("key").withColumn("p", F.lit(1 / 256))
+    p, last = asked.select("key").withColumn("p", F.lit(1 / 256)), None
     for order, (level, ctx, d) in zip(range(1, ORDER + 1), reversed(levels), strict=True):
         part = F.col("key").bitwiseAND((1 << 8 * order) - 1)
         p = p.withColumn("_k", part).withColumn("_c", F.shiftright(part, 8))
@@ -82,6 +82,8 @@ def log_probs(asked: DataFrame, levels: list) -> DataFrame:
         c = F.coalesce("c", F.lit(0))
         off = F.when(c == 0, 0.0).when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
         p = cut(p.select("key", F.when(F.col("total").isNull(), F.col("p")).otherwise((c - off) / F.col("total") + F.col("gamma") * F.col("p")).alias("p")))
+        release(last)
+        last = p
     return p.select("key", F.log("p").cast("float").alias("logp"))
 
 
@@ -116,18 +118,22 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
         return pa.table({"key": pa.array(key), "c": pa.array(c)})
 
     counted = chunks.groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInArrow(learn, "key long, c long")
-    levels = model(cut(counted.groupBy("key").agg(F.sum("c").alias("c"))))
+    counts = cut(counted.groupBy("key").agg(F.sum("c").alias("c")))
 
     def distinct(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(_counted(text_bytes(b.column(0)))[0])], ["key"])
 
-    probs = cut(log_probs(cut(source.select("text").mapInArrow(distinct, "key long").distinct()), levels))
-    if probs.count() <= table_limit:
-        scored = _by_table(source, probs, kind, held)
-    else:
-        scored = _by_chunk(chunks, probs, kind, held)
-    scored = cut(scored).join(known.withColumn("trusted", F.lit(True)), "id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
+    asked = cut(source.select("text").mapInArrow(distinct, "key long").distinct())
+    by_table = asked.count() <= table_limit
+    if by_table:  # the chunks have been counted and are not scored
+        release(chunks)
+    levels = model(counts)
+    probs = cut(log_probs(asked, levels))
+    release(asked, *[f for level, ctx, _ in levels for f in (level, ctx)])
+    scored = cut(_by_table(source, probs, kind, held) if by_table else _by_chunk(chunks, probs, kind, held))
+    release(chunks, probs)
+    scored = scored.join(known.withColumn("trusted", F.lit(True)), "id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
     return scored.select("id", "lang", "n_bytes", "trusted", "perplexity", *(["held_out"] if held else [])).withColumnRenamed("id", id_col)
 
 
