@@ -231,10 +231,10 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 # --- chunks of documents in one row -----------------------------------------------------------------------------------
 
 
-def ipc(t: pa.Table) -> bytes:
-    """A table as a compressed Arrow stream."""
+def ipc(t: pa.Table, level: int = 1) -> bytes:
+    """A table as an Arrow stream compressed at that level."""
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=level))) as w:
         w.write_table(t)
     return sink.getvalue().to_pybytes()
 
